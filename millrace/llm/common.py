@@ -44,3 +44,27 @@ def let(value: Column, body) -> Column:
 def partitions(df: DataFrame) -> int:
     """The session's shuffle width."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def globally_ranked(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """``df`` with ``rank``: its 0-based place in the order of ``keys``, without a global sort in one task.
+
+    Rows are range-partitioned and sorted, the result is written to the shared folder (so that
+    partitions and their order are fixed, also when a task is repeated), and each partition's
+    first rank comes from the counts of those before it: one number per partition.
+    """
+    rows = df.withColumns({f"_k{i}": F.col(k) if isinstance(k, str) else k for i, k in enumerate(keys)})
+    order = [f"_k{i}" for i in range(len(keys))]
+    rows = rows.repartitionByRange(partitions(df), *order).sortWithinPartitions(*order).drop(*order)
+    rows = settled(rows.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_at", 33)
+    counts = sorted((r.p, r.n) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    before, total = {}, 0
+    for p, n in counts:
+        before[p] = total
+        total += n
+    low = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    if not before:
+        return rows.withColumn("rank", low).drop("_at")
+    first = F.array(*[F.lit(before.get(p, 0)).cast("long") for p in range(max(before) + 1)])
+    return rows.withColumn("rank", low + first[part.cast("int")]).drop("_at")

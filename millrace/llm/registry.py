@@ -1,7 +1,7 @@
 """All queries of the corpus operators and their oracle SQL."""
 
-from millrace.llm import quality
+from millrace.llm import packing, pii, quality, tokens
 
-_MODULES = (quality,)
+_MODULES = (packing, pii, tokens, quality)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in getattr(m, "SQL", {}).items()}
