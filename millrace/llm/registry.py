@@ -1,7 +1,7 @@
 """All queries of the corpus operators and their oracle SQL."""
 
-from millrace.llm import jaccard, packing, pii, quality, secrets, sharding, tokens
+from millrace.llm import decontaminate, jaccard, packing, pii, quality, secrets, sharding, tokens
 
-_MODULES = (packing, jaccard, pii, tokens, quality, sharding, secrets)
+_MODULES = (packing, jaccard, decontaminate, pii, tokens, quality, sharding, secrets)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in getattr(m, "SQL", {}).items()}
