@@ -1,7 +1,81 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: quality rules, near duplicates, decontamination, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame;
+all but the last return the columns of ``documents``. ``run`` writes each stage's rows as Parquet into the
+shared folder and reads them again as the next one's input, so a lost executor costs no earlier stage.
+
+The last stage needs a tokenizer, so there is no SQL for the whole: the stages before it have theirs
+under their own queries, and tests hold ``run`` against a brute-force version.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
 from millrace.llm import registry
+from millrace.llm.common import shared_folder, table
+from millrace.llm.decontaminate import drop_contaminated
+from millrace.llm.jaccard import one_of_each
+from millrace.llm.packing import pack
+from millrace.llm.pii import redact
+from millrace.llm.quality import filter_quality
+
+__all__ = ["ORACLE_SQL", "STAGES", "registry", "run"]
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return filter_quality(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near or exact copies stays, the one of the least id."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind; ``n_chars`` follows the new text."""
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the remaining documents with their sequence and offset."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
+
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if i:
+            _drop(spark, before)
+        before = path
+    return docs
+
 
-__all__ = ["registry"]
+def _drop(spark: SparkSession, path: str) -> None:
+    """Remove a stage's rows once the next stage's are written."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

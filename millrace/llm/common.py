@@ -17,17 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only a local
-    session that names none (as in tests) gets a temporary one.
+    Only a local session that names none (as in tests) gets a temporary one.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir", "") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local"):
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+        if not named and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, its lineage cut; the files go when the data is no longer in use, if the session cleans checkpoints."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -121,6 +121,9 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         ELSE struct(a.done || substr({own}, a.at + 1, x.s - a.at) || '<' || upper(x.kind) || '>' AS done, x.e AS at) END,
         a -> a.done || substr({own}, a.at + 1))"""
     d = find(plain, own).withColumn(own, F.expr(f"CASE WHEN size(pii) > 0 THEN {cut} ELSE {own} END"))
+    if "n_chars" in names:  # the length of the text, where the table keeps it
+        n = f"_c{names.index('n_chars')}"
+        d = d.withColumn(n, F.when(F.size("pii") > 0, F.length(own).cast(plain.schema[n].dataType)).otherwise(F.col(n)))
     return d.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
 
 

@@ -86,6 +86,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "cast(size(_lines) as bigint) AS n_lines",
         f"cast(CASE WHEN size(words) < 4 THEN 0 ELSE {_REPEATS} END as bigint) AS n_repeat_words",
         f"cast(size(filter(words, w -> w IN ({stop}))) as bigint) AS n_stop_words",
+        "monotonically_increasing_id() AS _row",
     )
     word, line = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
     return d.withColumns(
@@ -123,7 +124,8 @@ def filter_quality(docs: DataFrame, rules=RULES, text: str = "text") -> DataFram
     """The rows of ``docs`` that pass, with the columns of ``docs``; its own measures may share names with them."""
     names = docs.columns
     plain = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)])
-    kept = judge(plain, rules, f"_c{names.index(text)}").filter("kept")
+    # `_row` isn't deterministic, which keeps the optimiser from moving the test, and with it whole measures, below their projection
+    kept = judge(plain, rules, f"_c{names.index(text)}").filter("kept AND _row >= 0")
     return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
 
 
