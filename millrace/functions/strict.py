@@ -24,10 +24,15 @@ def spark_type(kind: str) -> str:
     return {"f32": "float", "f64": "double", "string": "string"}[kind]
 
 
+def _exact(value: int) -> Column:
+    """A whole number of any size up to 38 digits."""
+    return F.lit(str(value)).cast(_D)
+
+
 def _wrap(value: Column, kind: str) -> Column:
     """``value`` modulo 2**bits; it must be exact in its own type."""
     if kind == "u64":
-        return F.pmod(value.cast(_D), F.lit(1 << 64).cast(_D)).cast("decimal(20,0)")
+        return F.pmod(value.cast(_D), _exact(1 << 64)).cast("decimal(20,0)")
     return F.pmod(value, F.lit(1 << UNSIGNED[kind]).cast("bigint"))
 
 
@@ -47,8 +52,8 @@ def multiply(a: Column, b: Column, kind: str) -> Column:
     if kind in SIGNED:
         return (a.cast(SIGNED[kind]) * b.cast(SIGNED[kind])).cast(SIGNED[kind])
     if kind != "u64":
-        return F.pmod((a.cast("decimal(10,0)") * b.cast("decimal(10,0)")).cast(_D), F.lit(1 << UNSIGNED[kind]).cast(_D)).cast("bigint")
-    half = F.lit(1 << 32).cast(_D)  # 64 x 64 bits exceed 38 digits: multiply by halves of b, whose high product only counts modulo 2**32
+        return F.pmod((a.cast("decimal(10,0)") * b.cast("decimal(10,0)")).cast(_D), _exact(1 << UNSIGNED[kind])).cast("bigint")
+    half = _exact(1 << 32)  # 64 x 64 bits exceed 38 digits: multiply by halves of b, whose high product only counts modulo 2**32
     a, b = a.cast(_D), b.cast(_D)
     low, high = F.pmod(b, half).cast("decimal(10,0)"), F.floor(b / half).cast("decimal(10,0)")
     upper = F.pmod((F.pmod(a, half).cast("decimal(10,0)") * high).cast(_D), half)
@@ -84,7 +89,7 @@ def truncate_to(a: Column, kind: str) -> Column:
     if kind in UNSIGNED:
         return _wrap(a.cast("bigint") if kind != "u64" else a.cast(_D), kind)
     bits = {"i8": 8, "i16": 16, "i32": 32, "i64": 64}[kind]
-    span, half = F.lit(1 << bits).cast(_D), F.lit(1 << (bits - 1)).cast(_D)
+    span, half = _exact(1 << bits), _exact(1 << (bits - 1))
     return (F.pmod(a.cast(_D) + half, span) - half).cast(SIGNED[kind])
 
 
@@ -101,19 +106,19 @@ def bit_xor(a: Column, b: Column) -> Column:
 
 
 def bit_not(a: Column, kind: str) -> Column:
-    return F.bitwise_not(a) if kind in SIGNED else F.lit((1 << UNSIGNED[kind]) - 1).cast(spark_type(kind)) - a
+    return F.bitwise_not(a) if kind in SIGNED else _exact((1 << UNSIGNED[kind]) - 1).cast(spark_type(kind)) - a
 
 
 def shift_left(a: Column, n: int, kind: str) -> Column:
     """Bits shifted out are lost."""
     if kind in SIGNED:
-        return truncate_to(a.cast(_D) * F.lit(1 << n).cast(_D), kind) if n < 32 else F.shiftleft(a.cast("bigint"), n)
-    return multiply(a, F.lit(1 << n), kind)
+        return truncate_to(a.cast(_D) * _exact(1 << n), kind) if n < 32 else F.shiftleft(a.cast("bigint"), n)
+    return multiply(a, _exact(1 << n).cast(spark_type(kind)), kind)
 
 
 def shift_right(a: Column, n: int, kind: str) -> Column:
     """Arithmetic for signed kinds, logical for unsigned ones."""
-    return F.shiftright(a, n) if kind in SIGNED else _div(a, F.lit(1 << n)).cast(spark_type(kind))
+    return F.shiftright(a, n) if kind in SIGNED else _div(a, _exact(1 << n)).cast(spark_type(kind))
 
 
 def divide_float(a: Column, b: Column, kind: str = "f64") -> Column:
