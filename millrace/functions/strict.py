@@ -55,7 +55,7 @@ def multiply(a: Column, b: Column, kind: str) -> Column:
         return F.pmod((a.cast("decimal(10,0)") * b.cast("decimal(10,0)")).cast(_D), _exact(1 << UNSIGNED[kind])).cast("bigint")
     half = _exact(1 << 32)  # 64 x 64 bits exceed 38 digits: multiply by halves of b, whose high product only counts modulo 2**32
     a, b = a.cast(_D), b.cast(_D)
-    low, high = F.pmod(b, half).cast("decimal(10,0)"), F.floor(b / half).cast("decimal(10,0)")
+    low, high = F.pmod(b, half).cast("decimal(10,0)"), ((b - F.pmod(b, half)) / half).cast("decimal(10,0)")
     upper = F.pmod((F.pmod(a, half).cast("decimal(10,0)") * high).cast(_D), half)
     return _wrap((a.cast("decimal(20,0)") * low).cast(_D) + upper * half, "u64")
 
