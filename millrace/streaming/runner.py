@@ -5,6 +5,7 @@ state store under a watermark; count windows keep their open rows as the state o
 key. Differences from bounded runs: a window is emitted when the watermark passes its end, so the
 last ones stay open until later rows (or ``far_future``, a row to send last) arrive; Spark drops rows behind
 the watermark one batch later than the bounded form, so a stream's windows hold at least its rows.
+Spark's first watermark is 1970, so joins take no rows at tick 0.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ def _window(spec: WindowSpec) -> Column:
 
 def time_aggregate(df: DataFrame, spec: WindowSpec, aggs: dict, keys: list[str] = ()) -> DataFrame:
     if spec.advance > spec.size:
-        df = df.filter(F.col(TS) % spec.advance >= spec.advance - spec.size)
+        # on the event time, so that the filter stays above the watermark and rows in gaps still advance it
+        df = df.filter(F.unix_micros(EVENT_TIME) % spec.advance >= spec.advance - spec.size)
     out = df.groupBy(*keys, _window(spec).alias("w")).agg(*[as_column(a).alias(n) for n, a in aggs.items()])
     end = F.unix_micros(F.col("w.end"))
     start = F.greatest(end - spec.size, F.lit(0).cast("long")).alias("window_start")
@@ -55,7 +57,6 @@ def time_aggregate(df: DataFrame, spec: WindowSpec, aggs: dict, keys: list[str]
 def count_windows(df: DataFrame, spec: WindowSpec, func: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keys: list[str] = ()) -> DataFrame:
     """``func`` of each full window's rows in arrival order. The state is the open rows (fewer than ``size``) and the windows so far."""
     step, names = min(spec.advance, spec.size), [c for c in df.columns if c != EVENT_TIME]
-    fields = ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
     key_fields = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
 
     def work(key, parts, state):
@@ -76,8 +77,8 @@ def count_windows(df: DataFrame, spec: WindowSpec, func: Callable[[pd.DataFrame]
             yield pd.concat(made, ignore_index=True)
 
     state = ", ".join(f"s_{i} array<{df.schema[n].dataType.simpleString()}>" for i, n in enumerate(names)) + ", made long"
-    group = df.select(*names).groupBy(*(keys or [F.lit(0).alias("__all")]))
-    assert fields
+    rows = df.select(*names) if keys else df.select(*names, F.lit(0).alias("__all"))
+    group = rows.groupBy(*(keys or ["__all"]))
     return group.applyInPandasWithState(work, f"{key_fields}window_index long, {schema}", state, "append", "NoTimeout")
 
 
