@@ -12,9 +12,8 @@ the suffixes are sorted bucket by bucket and no array over the whole corpus is e
    their anchor; runs with equal bytes near each other are merged first, and known to repeat.
 3. Sorting. A task takes its buckets one after the other, about ``CHUNK`` bytes at a time. Suffixes
    are first grouped by fingerprints of their first and last bytes. Long ties are resolved by cover
-   ranks: positions of a difference cover modulo ``PERIOD`` are ranked beforehand by their next bytes
-   (by words, then by doubling, for which the cover is closed). Any two tied suffixes reach cover
-   positions at one common shift below ``PERIOD``, so each comparison costs two lookups, and
+   ranks: positions of a difference cover are ranked beforehand by their next bytes. Any two tied
+   suffixes reach cover positions at one common shift below the cover's period, so each comparison costs two lookups, and
    partitioning around pivots, all ties at once, sorts them.
 4. An anchor in more than ``HEAVY`` places would make a bucket too large for one task. Its windows
    travel one by one, by two fingerprints of all their bytes, spread over all tasks.
@@ -28,29 +27,34 @@ no rows; only id and text are read.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (used as pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.bytehash import U, byte_slices, mix, prefix_hashes, substring_hash
-from millrace.llm.common import partitions, table
+from millrace.llm.bytehash import U, byte_slices, mix, powers, prefix_hashes, substring_hash
+from millrace.llm.common import partitions, settled, table
 
-LENGTH, GRAM, PERIOD, CHUNK, HEAVY = 400, 32, 64, 1 << 20, 50_000
+#: COVER: the cover of period 73 with ten residues.
+LENGTH, GRAM, COVER, CHUNK, HEAVY = 400, 32, 1, 1 << 20, 50_000
 _PLACE_BITS = 28
 
 
-def difference_cover(period: int) -> np.ndarray:
-    """Residues whose differences cover all residues: all below r, then multiples of r, for r about the root of the period."""
-    r = max(1, round((period / 2) ** 0.5))
-    return np.unique([*range(r), *range(0, period, r), period - 1] if period > 1 else [0])
+def difference_cover(r: int) -> tuple[int, np.ndarray]:
+    """A period 24 r**2 + 36 r + 13 and 6 r + 4 residues whose differences cover all residues (Colbourn and Ling)."""
+    gaps = [1] * r + [r + 1] + [2 * r + 1] * r + [4 * r + 3] * (2 * r + 1) + [2 * r + 2] * (r + 1) + [1] * r
+    return 24 * r * r + 36 * r + 13, np.concatenate([[0], np.cumsum(gaps)])
 
 
-def _shifts(period: int) -> tuple[np.ndarray, np.ndarray]:
+@functools.cache
+def _shifts(r: int) -> tuple[np.ndarray, np.ndarray]:
     """Membership by residue, and for two residues the least shift that brings both into the cover."""
+    period, cover = difference_cover(r)
     member = np.zeros(period, dtype=bool)
-    member[difference_cover(period)] = True
+    member[cover] = True
     shift = np.full((period, period), -1, dtype=np.int64)
     at = np.arange(period)
     for d in range(period - 1, -1, -1):
@@ -68,24 +72,26 @@ def _runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarra
     width = length - GRAM + 1
     if len(data) < length:
         return empty, empty, empty, np.empty(0, dtype=np.uint64), prefix
-    at = np.arange(len(data) - GRAM + 1)
-    grams = substring_hash(prefix, at, at + GRAM)
-    keys = (grams >> U(_PLACE_BITS) << U(_PLACE_BITS)) | at.astype(np.uint64)
-    n = len(keys) - width + 1
+    n = len(data) - length + 1
+    _, inverse = powers(len(prefix))
+    grams = (prefix[GRAM:] - prefix[:-GRAM]) * inverse[: len(data) - GRAM + 1]
+    keys = (grams ^ (grams >> U(32))) * U(0x9E3779B97F4A7C15)
+    keys &= ~U((1 << _PLACE_BITS) - 1)
+    keys |= np.arange(len(keys), dtype=np.uint64)
     padded = np.full(-(-len(keys) // width) * width, ~U(0), dtype=np.uint64)
     padded[: len(keys)] = keys
     block = padded.reshape(-1, width)
     ahead = np.minimum.accumulate(block, axis=1).ravel()
     back = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
     anchor = (np.minimum(back[:n], ahead[width - 1 : width - 1 + n]) & U((1 << _PLACE_BITS) - 1)).astype(np.int64)
-    row = np.searchsorted(offsets, at[:n], "right") - 1
-    inside = at[:n] + length <= offsets[row + 1]
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
+    inside = np.arange(length, length + n) <= offsets[row + 1]
     start = inside.copy()
     start[1:] &= ~inside[:-1] | (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(start)
     total = np.concatenate([[0], np.cumsum(inside)])
     count = np.diff(np.append(total[first], total[-1]))
-    return first, count, row[first], grams[anchor[first]], prefix
+    return first, count, row[first], mix(grams[anchor[first]]), prefix
 
 
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
@@ -157,61 +163,83 @@ def _rows(ids, hashes, lo, offsets, row, first, count, bucket, multi=None, packe
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _RUN.split(", ")])
 
 
-def _cover_ranks(data: np.ndarray, reach: int, member: np.ndarray) -> np.ndarray:
-    """Per cover position its rank by the next ``reach`` bytes (a power of two times the period), -1 elsewhere. Ranks follow the bytes' order."""
+def _classes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One member of each class of equal keys, each key's class, and the classes' sizes."""
+    order = np.argsort(key)
+    new = np.concatenate([[True], np.diff(key[order]) != 0])
+    group = np.empty(len(key), dtype=np.int64)
+    group[order] = np.cumsum(new) - 1
+    return order[new], group, np.diff(np.append(np.flatnonzero(new), len(key)))
+
+
+def _cover_ranks(data: np.ndarray, prefix: np.ndarray, reach: int, member: np.ndarray, tied: np.ndarray) -> np.ndarray:
+    """Per cover position that a tied suffix can reach its rank by the next ``reach`` bytes, in their order; -1 elsewhere.
+
+    Equal strings are found by fingerprint and ranked once. The distinct ones are sorted by words of
+    eight bytes, each round only within the ties that are left.
+    """
     period = len(member)
-    padded = np.concatenate([data, np.zeros(reach + 8, dtype=np.uint8)])
-    word = np.zeros(len(padded) - 7, dtype=np.uint64)
-    for k in range(8):
-        word |= padded[k : k + len(word)].astype(np.uint64) << U(56 - 8 * k)
-    cover = np.flatnonzero(member[np.arange(len(data)) % period])
-    ranks = np.full(len(padded) + reach, 0, dtype=np.int64)
-    rank = np.unique(word[cover], return_inverse=True)[1]
-    for k in range(8, period, 8):
-        part = word[np.minimum(cover + k, len(word) - 1)]
-        order = np.lexsort((part, rank))
-        step = (np.diff(rank[order]) != 0) | (np.diff(part[order]) != 0)
-        rank = rank.copy()
-        rank[order] = np.concatenate([[0], np.cumsum(step)]) if len(order) else order
-    have = period
-    while have < reach:
-        ranks[cover] = rank + 1
-        rank = np.unique((rank.astype(np.int64) + 1) * np.int64(len(cover) + 2) + ranks[cover + have], return_inverse=True)[1]
-        have *= 2
+    near = np.zeros(len(data) + period, dtype=np.int32)
+    near[tied] = 1
+    near[tied + period] -= 1  # a start covers the places up to a period on
+    near = np.cumsum(near)[: max(0, len(data) - reach + 1)] > 0
+    cover = np.flatnonzero(near & np.tile(member, len(data) // period + 1)[: len(near)])
     out = np.full(len(data), -1, dtype=np.int64)
-    out[cover] = rank
+    first, back, _ = _classes(substring_hash(prefix, cover, cover + reach))
+    at = cover[first]
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    rank = np.zeros(len(at), dtype=np.int64)
+    left = np.arange(len(at))  # members of ties, which keep the rank of their tie's first place
+    for k in range(0, reach, 8):
+        word = padded[(at[left] + k)[:, None] + np.arange(min(8, reach - k))]
+        word = np.pad(word, ((0, 0), (0, 8 - word.shape[1]))).view(">u8").ravel().astype(np.uint64)
+        order = np.lexsort((word, rank[left]))
+        left, word = left[order], word[order]
+        old = rank[left]
+        new_tie = np.concatenate([[True], old[1:] != old[:-1]])
+        new_word = new_tie | np.concatenate([[True], word[1:] != word[:-1]])
+        place = np.arange(len(left))
+        base = place[new_tie][np.cumsum(new_tie) - 1]
+        rank[left] = old + place[new_word][np.cumsum(new_word) - 1] - base
+        alone = new_word & np.concatenate([new_word[1:], [True]])
+        left = left[~alone]
+        if not len(left):
+            break
+    out[cover] = rank[back]
     return out
 
 
-def same_windows(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, period: int = PERIOD) -> np.ndarray:
-    """A class per start: equal for equal strings of ``length`` bytes. All windows lie inside ``data``."""
-    reach = period
-    while reach * 2 <= length:
-        reach *= 2
+def same_windows(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, r: int = COVER) -> np.ndarray:
+    """A class per start: equal for equal strings of ``length`` bytes. All windows lie inside ``data``.
+
+    Tied suffixes agree in their first ``period`` and their last ``period`` bytes; at a common shift below the
+    period both are cover positions, whose ranks compare the bytes between.
+    """
+    member, shift = _shifts(r)
+    period = len(member)
+    reach = length - period
     prefix = prefix_hashes(data)
-    key = mix(substring_hash(prefix, starts, starts + period) + mix(substring_hash(prefix, starts + reach, starts + length)))
-    _, group, size = np.unique(key, return_inverse=True, return_counts=True)
-    label = np.full(len(starts), -1, dtype=np.int64)
-    label[size[group] == 1] = -2
-    label[label == -2] = np.arange((label == -2).sum())
-    next_label = int((label >= 0).sum())
+    key = substring_hash(prefix, starts, starts + period) + U(3) * substring_hash(prefix, starts + reach, starts + length)
+    first, group, size = _classes(key)
+    label = np.where(size[group] == 1, group, -1)
+    next_label = len(size)
     tied = np.flatnonzero(label < 0)
     if not len(tied):
         return label
-    member, shift = _shifts(period)
-    ranks = _cover_ranks(data, reach, member)
+    ranks = _cover_ranks(data, prefix, reach, member, starts[tied])
+    pivot = first[group[tied]]
     group = group[tied]
-    while len(tied):
-        _, first, back = np.unique(group, return_index=True, return_inverse=True)
-        pivot = tied[first[back]]
+    while True:
         d = shift[starts[tied] % period, starts[pivot] % period]
         order = np.sign(ranks[starts[tied] + d] - ranks[starts[pivot] + d])
         equal = order == 0
-        label[tied[equal]] = next_label + back[equal]
-        next_label += len(first)
-        group = 2 * back[~equal] + (order[~equal] > 0)
-        tied = tied[~equal]
-    return label
+        label[tied[equal]] = next_label + group[equal]
+        next_label += int(group.max()) + 1
+        if equal.all():
+            return label
+        group, tied = 2 * group[~equal] + (order[~equal] > 0), tied[~equal]
+        first, group, _ = _classes(group)
+        pivot = tied[first[group]]
 
 
 def _repeats(t: pa.Table, length: int) -> pa.RecordBatch | None:
@@ -295,12 +323,14 @@ def _spans(repeats: list[dict] | None, length: int) -> list[tuple[int, int]]:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, heavy: int = HEAVY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` as (doc_id, text, repeats): every maximal run lo..hi of starts of repeated windows in the bytes of its text."""
-    if length < 2 * PERIOD:
-        raise ValueError(f"length must be {2 * PERIOD} or more")
+    least = 2 * difference_cover(COVER)[0]
+    if length < least:
+        raise ValueError(f"length must be {least} or more")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = max(partitions(docs), size // (16 << 20))
-    seen = _anchors(rows.select("doc_id", "text_hash", "text"), length).select("doc_id", "text_hash", F.explode("anchors").alias("a"))
+    anchors = settled(_anchors(rows.select("doc_id", "text_hash", "text"), length))  # read twice, small beside the texts
+    seen = anchors.select("doc_id", "text_hash", F.explode("anchors").alias("a"))
     dup = seen.groupBy("a").agg(F.count("*").alias("c")).filter("c > 1").select("a", (F.col("c") > heavy).alias("heavy"))
     marks = seen.join(dup, "a").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("a", "heavy")).alias("marks"))
     marks = marks.select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), "marks")
