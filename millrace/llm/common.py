@@ -2,39 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The word separators of the query contracts: space and the six ASCII controls from tab to carriage return.
-SPACE_CLASS = r"[\x20\x09-\x0D]"
-SPACE_CHARS = " \t\n\x0b\x0c\r"
+from millrace.operators.ordering import ranked as globally_ranked
+from millrace.operators.ordering import settled, shared_folder
 
+__all__ = ["SPACE_CHARS", "globally_ranked", "let", "partitions", "settled", "shared_folder", "table", "text_of"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data folder, by any path that Spark can read."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: SPACE_CHARS: the word separators of the query contracts: space and the six ASCII controls from tab to carriage return.
+SMALL_BYTES = 64 << 20
+SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``.
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data folder, by any path that Spark can read.
 
-    Only a local session that names none (as in tests) gets a temporary one.
+    A table of under ``SMALL_BYTES`` in fewer files than there are cores is dealt over the cores, as a
+    small file is often one row group and would keep one core busy; larger tables are read as they lie.
     """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, its lineage cut; the files go when the data is no longer in use, if the session cleans checkpoints."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES
+    return df.repartition(cores) if small and len(df.inputFiles()) < cores else df
 
 
 def text_of(name: str = "text") -> Column:
@@ -50,27 +40,3 @@ def let(value: Column, body) -> Column:
 def partitions(df: DataFrame) -> int:
     """The session's shuffle width."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def globally_ranked(df: DataFrame, *keys: str | Column) -> DataFrame:
-    """``df`` with ``rank``: its 0-based place in the order of ``keys``, without a global sort in one task.
-
-    Rows are range-partitioned and sorted, the result is written to the shared folder (so that
-    partitions and their order are fixed, also when a task is repeated), and each partition's
-    first rank comes from the counts of those before it: one number per partition.
-    """
-    rows = df.withColumns({f"_k{i}": F.col(k) if isinstance(k, str) else k for i, k in enumerate(keys)})
-    order = [f"_k{i}" for i in range(len(keys))]
-    rows = rows.repartitionByRange(partitions(df), *order).sortWithinPartitions(*order).drop(*order)
-    rows = settled(rows.withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftrightunsigned("_at", 33)
-    counts = sorted((r.p, r.n) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    before, total = {}, 0
-    for p, n in counts:
-        before[p] = total
-        total += n
-    low = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    if not before:
-        return rows.withColumn("rank", low).drop("_at")
-    first = F.array(*[F.lit(before.get(p, 0)).cast("long") for p in range(max(before) + 1)])
-    return rows.withColumn("rank", low + first[part.cast("int")]).drop("_at")
