@@ -29,8 +29,8 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def ranked(df: DataFrame, *keys: str | Column, name: str = "rank") -> DataFrame:
-    """``df`` with ``name``: its 0-based place in the order of ``keys``.
+def ranked(df: DataFrame, *keys: str | Column, name: str = "rank", total: str | None = None) -> DataFrame:
+    """``df`` with ``name``: its 0-based place in the order of ``keys``; ``total`` names a column for the number of rows.
 
     Rows are range-partitioned and sorted, then written once (which fixes partitions and their order
     also when a task is repeated); each partition's first rank comes from the counts of those before
@@ -43,13 +43,14 @@ def ranked(df: DataFrame, *keys: str | Column, name: str = "rank") -> DataFrame:
     rows = settled(rows.withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftrightunsigned("__at", 33)
     counts = sorted((r.p, r.n) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
-    first, total = [0] * (counts[-1][0] + 1 if counts else 1), 0
+    first, before = [0] * (counts[-1][0] + 1 if counts else 1), 0
     for p, n in counts:
-        first[p] = total
-        total += n
+        first[p] = before
+        before += n
     low = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     start = F.array(*[F.lit(x).cast("long") for x in first])
-    return rows.withColumn(name, low + start[part.cast("int")]).drop("__at")
+    rows = rows.withColumn(name, low + start[part.cast("int")]).drop("__at")
+    return rows.withColumn(total, F.lit(before).cast("long")) if total else rows
 
 
 def running_max(df: DataFrame, order: str, value: str, name: str, block: int = 10_000) -> DataFrame:

@@ -75,8 +75,7 @@ def assign_count(df: DataFrame, spec: WindowSpec, keys: list[str] = ()) -> DataF
         place = Window.partitionBy(*keys)
         rows = df.withColumn("__rn", F.row_number().over(place.orderBy(SEQ)).cast("long")).withColumn("__all", F.count("*").over(place))
     else:
-        rows = ranked(df, SEQ, name="__rn").withColumn("__rn", F.col("__rn") + 1)
-        rows = rows.withColumn("__all", F.lit(rows.count()).cast("long"))
+        rows = ranked(df, SEQ, name="__rn", total="__all").withColumn("__rn", F.col("__rn") + 1)
     div = lambda a, b: F.floor(a / b)
     full = F.when(F.col("__all") >= size, div(F.col("__all") - size, step) + 1).otherwise(0)
     lo = F.greatest(F.lit(0).cast("long"), div(F.col("__rn") - size + step - 1, step))
