@@ -130,7 +130,7 @@ class WindowedStream:
         keys, late = list(s.keys), s._late()
         partition = "Keyed" if keys else "Forward"
         if func is not None:
-            return s._next("window", "Window", lambda df: windows.apply_function(df, spec, func, schema, keys, late), partition, spec=spec)
+            return s._next("window", "Window", lambda df: windows.apply_function(df, spec, func, schema, keys, late), partition, spec=spec, func=func, schema=schema, keys=keys)
         if spec.kind == "time":
             return s._next("window", "Window", lambda df: windows.time_aggregate(df, spec, aggs, keys, late), partition, spec=spec, aggs=aggs, keys=keys)
         return s._next("window", "Window", lambda df: windows.count_aggregate(df, spec, aggs, keys), partition, spec=spec, aggs=aggs, keys=keys)

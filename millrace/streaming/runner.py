@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators import basic
-from millrace.operators.aggregates import as_column
+from millrace.operators.aggregates import Agg, as_column
 from millrace.operators.rows import SEQ, TS, WM
 from millrace.plans.graph import DataflowGraph, Node
 from millrace.plans.window_spec import WindowSpec
@@ -82,6 +82,50 @@ def count_windows(df: DataFrame, spec: WindowSpec, func: Callable[[pd.DataFrame]
     return group.applyInPandasWithState(work, f"{key_fields}window_index long, {schema}", state, "append", "NoTimeout")
 
 
+def time_apply(df: DataFrame, spec: WindowSpec, func: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keys: list[str] = ()) -> DataFrame:
+    """``func`` of all rows of each closed window, in time order (ties: latest arrival first). The state holds the rows."""
+    if spec.advance > spec.size:
+        df = df.filter(F.unix_micros(EVENT_TIME) % spec.advance >= spec.advance - spec.size)
+    names = [c for c in df.columns if c != EVENT_TIME]
+    held = df.groupBy(*keys, _window(spec).alias("w")).agg(F.collect_list(F.struct(*names)).alias("rows"))
+    held = held.select(*keys, F.unix_micros(F.col("w.end")).alias("window_end"), "rows", F.window_time("w").alias(EVENT_TIME))
+    key_fields = "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                rows = pd.DataFrame([dict(zip(names, x, strict=True)) if isinstance(x, tuple) else dict(x) for x in r.rows])
+                out = func(rows.sort_values([TS, SEQ], ascending=[True, False], kind="stable")).copy()
+                for k in keys:
+                    out[k] = getattr(r, k)
+                out["window_end"] = r.window_end
+                yield out
+
+    out = held.drop(EVENT_TIME).mapInPandas(run, f"{key_fields}window_end long, {schema}")
+    return out.withColumns({TS: F.col("window_end"), SEQ: F.col("window_end"), WM: F.lit(None).cast("long")})
+
+
+def _over_rows(aggs: dict) -> tuple[Callable[[pd.DataFrame], pd.DataFrame], str]:
+    """Named aggregates of whole-number columns as a function of a window's rows, for count windows."""
+    for n, a in aggs.items():
+        if not isinstance(a, Agg) or not isinstance(a.column, str):
+            raise ValueError(f"{n}: a streaming count window takes named aggregates of columns, or a function")
+    how = {"sum": "sum", "count": "count", "min": "min", "max": "max", "avg": "mean"}
+    func = lambda p: pd.DataFrame({n: [p[a.column].agg(how[a.kind])] for n, a in aggs.items()} | {TS: [p[TS].iloc[-1]], SEQ: [p[SEQ].max()]})
+    fields = ", ".join(f"{n} {'double' if a.kind == 'avg' else 'long'}" for n, a in aggs.items())
+    return func, f"{fields}, {TS} long, {SEQ} long"
+
+
+def _window_node(df: DataFrame, p: dict) -> DataFrame:
+    spec = p.get("spec")
+    if spec is None:
+        raise ValueError("sessions run bounded only")
+    if spec.kind == "time":
+        return time_aggregate(df, spec, p["aggs"], p["keys"]) if "aggs" in p else time_apply(df, spec, p["func"], p["schema"], p["keys"])
+    func, schema = _over_rows(p["aggs"]) if "aggs" in p else (p["func"], p["schema"])
+    return count_windows(df, spec, func, schema, p["keys"])
+
+
 def _pairs(left: DataFrame, right: DataFrame, node: Node) -> DataFrame:
     a = left.withColumn("__key", node.params["keys"][0]).withColumnRenamed(EVENT_TIME, "__lt")
     b = right.withColumn("__key", node.params["keys"][1]).withColumnRenamed(EVENT_TIME, "__rt")
@@ -111,10 +155,7 @@ def compile_stream(graph: DataflowGraph, sources: dict[str, DataFrame]) -> dict[
         elif node.kind in ("IntervalJoin", "WindowJoin"):
             made[i] = _pairs(*inputs, node)
         elif node.kind == "Window":
-            spec = node.params.get("spec")
-            if spec is None or spec.kind != "time" or "aggs" not in node.params:
-                raise ValueError("a stream runs time windows over aggregates; for count windows see count_windows")
-            made[i] = time_aggregate(inputs[0], spec, node.params["aggs"], node.params["keys"])
+            made[i] = _window_node(inputs[0], node.params)
         else:
             out = node.build(node.params, [inputs[0]])
             if EVENT_TIME not in out.columns and EVENT_TIME in inputs[0].columns:

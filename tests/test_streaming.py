@@ -66,6 +66,34 @@ def test_count_windows_keep_open_rows(spark, tmp_path):
     assert got == [(k, sum(values[4 * k : 4 * k + 10])) for k in range((60 - 10) // 4 + 1)]
 
 
+def test_opaque_and_count_windows_of_a_graph(spark, tmp_path):
+    parts, rows = chunks()
+    df = spark.createDataFrame(rows, SCHEMA)
+    text = lambda p: pd.DataFrame({"seen": [",".join(map(str, p["value"]))]})
+    b = lambda: GraphBuilder().source(df, "t", "i")
+    graph = b().window(time_window(100, 100)).reduce(text, "seen string").sink().build()
+    src = stream_source(files(spark, str(tmp_path / "a"), parts), "t", "i", 20)
+    got = {(r.window_end, r.seen) for r in run(spark, tmp_path, "o", compile_stream(graph, {"source": src})[3])}
+    assert got == {(r.window_end, r.seen) for r in result(graph).collect()}
+    graph = b().window(count_window(10, 10)).reduce(total=sum_of("value")).sink().build()
+    src = stream_source(files(spark, str(tmp_path / "b"), parts[:3]), "t", "i")
+    got = sorted((r.window_index, r.total, r["__ts"]) for r in run(spark, tmp_path, "n", compile_stream(graph, {"source": src})[3]))
+    assert got == sorted((r.window_index, r.total, r["__ts"]) for r in result(graph).collect())
+
+
+def test_sinks(spark, tmp_path):
+    from millrace.sources import sinks
+
+    df, seen = spark.range(5), []
+    sinks.collecting(seen)(df)
+    sinks.parquet_sink(str(tmp_path / "p"))(df)
+    sinks.per_batch(sinks.parquet_sink(str(tmp_path / "p")))(df, 1)
+    assert len(seen) == 5 and spark.read.parquet(str(tmp_path / "p")).count() == 10
+    mark = str(tmp_path / "rows")
+    sinks.each(lambda r: open(mark, "a").write(f"{r.id}\n"))(df)
+    assert sorted(open(mark).read().split()) == list("01234")
+
+
 def test_cancel(spark, tmp_path):
     engine = StreamEngine(spark, str(tmp_path))
     engine.cancel()
