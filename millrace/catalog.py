@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -11,11 +12,13 @@ from pyspark.sql import functions as F
 from millrace.functions import metadata, strict
 from millrace.operators import watermark
 from millrace.operators.aggregates import avg_of, count_of, max_of, min_of, sum_of
-from millrace.operators.rows import as_stream, payload
+from millrace.operators.ordering import shared_folder
+from millrace.operators.rows import as_stream, micros, payload
 from millrace.plans.batch import result, results
 from millrace.plans.stream import GraphBuilder, Stream
 from millrace.plans.window_spec import WindowSpec, count_tumbling_window, count_window, time_tumbling_window, time_window
 from millrace.sources.tables import events, from_records, table
+from millrace.streaming.runner import EVENT_TIME, FAR_FUTURE, StreamEngine, compile_stream, stream_source
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
@@ -305,8 +308,6 @@ def q_metadata(spark, sf_dir):
     SELECT o_orderkey, l_linenumber, l.t - o.t AS gap FROM o JOIN l ON o_orderkey = l_orderkey AND l.t BETWEEN o.t AND o.t + """ + f"{10 * DAY}")
 def q_orders_shipped(spark, sf_dir):
     """An interval join of two tables as streams: lines shipped within ten days of their order."""
-    from millrace.operators.rows import micros
-
     b = GraphBuilder()
     orders = b.source(lambda: table(spark, sf_dir, "orders").select("o_orderkey", micros("o_orderdate").alias("t")), "t", "o_orderkey", name="orders")
     lines = b.source(lambda: table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", micros("l_shipdate").alias("t")), "t", "l_orderkey", name="lines")
@@ -314,6 +315,50 @@ def q_orders_shipped(spark, sf_dir):
     return _rows(s.sink())
 
 
+def _stream_events(spark, sf_dir, closing: bool):
+    """The event file as a stream; ``closing`` adds a row far in the future, which closes every window before it."""
+    e = table(spark, sf_dir, "events")
+    raw = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    columns = ["event_id", "tick", "user_id", "event_type", "cents"]
+    rows = raw.select("event_id", micros("ts").alias("tick"), "user_id", "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    if closing:
+        path = f"{shared_folder(spark)}/closing-{uuid.uuid4().hex}"
+        last = spark.createDataFrame([(-1, FAR_FUTURE, -1, "close", 0)], "event_id long, tick long, user_id long, event_type string, cents long")
+        last.coalesce(1).write.parquet(path)
+        rows = rows.union(spark.readStream.schema(last.schema).parquet(path).select(*columns))
+    return stream_source(rows, "tick", "event_id", HOUR)
+
+
+def _streamed(spark, graph, sources) -> DataFrame:
+    """Runs the graph's only leaf over what its sources hold now; the rows as a table."""
+    out = compile_stream(graph, sources)[graph.leaves()[0]]
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    out = out.drop(EVENT_TIME)
+    engine = StreamEngine(spark, f"{folder}/state")
+    engine.submit(f"query-{uuid.uuid4().hex}", out, lambda batch, i: batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={i}"))
+    engine.execute()
+    done = spark.read.schema(out.schema).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/*")
+    return done.select(*payload(out))
+
+
+@query(_time_sql(5 * HOUR, 2 * HOUR))
+def q_stream_sliding(spark, sf_dir):
+    """Sliding windows on Structured Streaming; the same rows as the bounded run."""
+    g = GraphBuilder().source(lambda: None, "tick", "event_id", name="events").filter(F.col("event_id") >= -1)
+    graph = g.window(time_window(5 * HOUR, 2 * HOUR)).reduce(n=count_of(), total=sum_of("cents")).sink().build()
+    return _streamed(spark, graph, {"events": _stream_events(spark, sf_dir, closing=True)})
+
+
+@query(SQL["q_interval_join"])
+def q_stream_interval_join(spark, sf_dir):
+    """Two streams joined in event time."""
+    clicks, buys = _both(GraphBuilder(), spark, sf_dir)
+    user = F.col("user_id")
+    s = clicks.interval_join(buys, user, user, -HOUR, 6 * HOUR, click_id=F.col("l.event_id"), purchase_id=F.col("r.event_id"), gap=F.col("r.__ts") - F.col("l.__ts"))
+    sources = {n: _stream_events(spark, sf_dir, closing=False) for n in ("clicks", "purchases")}
+    return _streamed(spark, s.sink().build(), sources)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Doubled event values in count windows."""
     s = _events(spark, sf_dir).map(event_id=F.col("event_id"), cents=F.col("cents") * 2)

@@ -48,7 +48,7 @@ def ranked(df: DataFrame, *keys: str | Column, name: str = "rank", total: str |
         first[p] = before
         before += n
     low = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    start = F.array(*[F.lit(x).cast("long") for x in first])
+    start = F.split(F.lit(",".join(map(str, first))), ",").cast("array<bigint>")  # one literal, also for very many partitions
     rows = rows.withColumn(name, low + start[part.cast("int")]).drop("__at")
     return rows.withColumn(total, F.lit(before).cast("long")) if total else rows
 

@@ -46,3 +46,12 @@ def in_force(df: DataFrame) -> Column:
     if not head.n:
         return F.lit(None).cast("long")
     return F.col(WM) if head.w is None else F.when(F.col(WM) > head.w, F.col(WM))
+
+
+def least_watermark(*watermarks: Column) -> Column:
+    """The watermark of several inputs: the least, and none while one of them has none."""
+    known = [w.isNotNull() for w in watermarks]
+    every = known[0]
+    for k in known[1:]:
+        every = every & k
+    return F.when(every, F.least(*watermarks) if len(watermarks) > 1 else watermarks[0])
