@@ -316,4 +316,22 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+SQL = {
+    "op2_ngram_jaccard_join": rf"""
+    WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) >= {WIDTH}
+                THEN list_sort(list_distinct(list_transform(range(1, len(w) - {WIDTH} + 2), lambda i: array_to_string(w[i:i + {WIDTH} - 1], ' '))))
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+    r AS (SELECT g, min(doc_id) AS id, count(*) AS n_copies FROM s GROUP BY g),
+    t AS (SELECT id, len(g) AS n, unnest(g) AS x FROM r),
+    p AS (SELECT a.id AS u, b.id AS v, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS c FROM t a JOIN t b ON a.x = b.x AND a.id < b.id GROUP BY a.id, b.id),
+    l AS (SELECT u, v FROM p WHERE c >= {LEAST} * (m + n - c) - 1e-9),
+    e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+    reach AS (SELECT u, v FROM e UNION SELECT reach.u, e.v FROM reach JOIN e ON reach.v = e.u),
+    k AS (SELECT u AS id, min(v) AS least FROM reach GROUP BY u),
+    n AS (SELECT u AS id, count(*) AS n_links FROM e GROUP BY u)
+    SELECT doc_id, least(r.id, coalesce(k.least, r.id))::BIGINT AS class_id, coalesce(n_links, 0)::BIGINT AS n_links, n_copies::BIGINT AS n_copies
+    FROM s JOIN r USING (g) LEFT JOIN k ON k.id = r.id LEFT JOIN n ON n.id = r.id
+    """
+}
 QUERIES = {"op2_ngram_jaccard_join": op2_ngram_jaccard_join}
