@@ -13,7 +13,8 @@ share of an item's five-word shingles that a document holds.
 3. A candidate is verified on the shingles themselves, as strings.
 
 Everything is built-in functions. The minima are broadcast while their number is at most
-``BROADCAST_ROWS`` (it is counted); above that the join shuffles the sketches.
+``BROADCAST_ROWS`` (it is counted); above that the join shuffles the sketches. So are the items'
+shingles, by their own count.
 
 Edge cases: an item of one to four words has one shingle, of all its words, and is searched at that
 width; an item without words (or null) never matches; a document without words matches nothing;
@@ -70,12 +71,13 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, doc_id: str
     bounds = {r.item_width: r.s for r in minima.groupBy("item_width").agg(F.max("scale").alias("s")).collect()}  # one per width, five at most
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("t")).withColumn("text_hash", F.xxhash64("t"))
     small = minima.count() <= BROADCAST_ROWS
+    light = (sets.agg(F.sum(F.size("item_shingles"))).first()[0] or 0) <= BROADCAST_ROWS
     parts = [F.filter(_hashes(F.col("w"), k), _at_most(bounds[k])) for k in sorted(bounds)] or [F.array().cast("array<bigint>")]
     sketch = F.concat(*parts) if len(parts) > 1 else parts[0]
     sketches = rows.withColumn("w", words(F.col("t"))).select("doc_id", "text_hash", F.explode(sketch).alias("h"))
     side = minima.select("row", "h")
     found = sketches.join(F.broadcast(side) if small else side, "h").select("doc_id", "text_hash", "row").distinct()
-    held = found.join(F.broadcast(sets) if small else sets, "row")
+    held = found.join(F.broadcast(sets) if light else sets, "row")
     wanted = held.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("row", "item_id", "item_width", "item_shingles")).alias("items"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
     pairs = rows.join(wanted, same).select("doc_id", "text_hash", words(F.col("t")).alias("w"), "items")
