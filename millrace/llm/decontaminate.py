@@ -101,8 +101,9 @@ def _shared(width: int):
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    bad = matches(docs, items, least).select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_hash")), "left_anti")
+    bad = matches(docs, items, least).select(F.col("doc_id").alias("__match_id"), F.col("text_hash").alias("__match_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("__match_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__match_hash"))
+    return docs.join(bad, same, "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

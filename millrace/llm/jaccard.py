@@ -304,12 +304,14 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, width: int = WIDTH, d
 
 
 def one_of_each(docs: DataFrame, least: float = LEAST, width: int = WIDTH) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is the least of their class; of rows that share such an id, one."""
+    """The rows of ``docs`` whose ``doc_id`` is the least of their class; of rows that share such an id, one. Rows without an id stay."""
     found = near_duplicates(docs, least, width)
     chosen = settled(found.filter("doc_id = class_id OR doc_id IS NULL").select("doc_id"))
-    repeated = not chosen.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    repeated = not chosen.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
     kept = docs.join(chosen.distinct(), docs["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    if repeated:
+        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.filter("doc_id IS NULL"))
+    return kept
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,11 @@ def test_one_of_each(odd, empty, corpus, corpus_df):
     assert jaccard.one_of_each(empty).count() == 0
 
 
+def test_rows_without_an_id_stay(spark):
+    df = spark.createDataFrame([(None, "x y"), (None, "z"), (1, "x y"), (1, "x y"), (2, "x y"), (3, "q")], "doc_id long, text string")
+    assert Counter(r.doc_id for r in jaccard.one_of_each(df).collect()) == {None: 2, 1: 1, 3: 1}
+
+
 def test_recall_formula():
     assert jaccard.run_recall(levels=1) == pytest.approx(0.811, abs=1e-3)
     assert 1 - (1 - jaccard.run_recall()) ** jaccard.RUNS > 0.999 and jaccard.runs_for(0.999) <= jaccard.RUNS
