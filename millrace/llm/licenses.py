@@ -6,10 +6,15 @@
 2. TF-IDF. Document frequencies run over all units of the corpus. Each unit is a sparse vector of its
    terms; it is joined to the templates' terms (a bounded table), and dot products are summed by
    unit and template. The best template from ``LEAST_COSINE`` on is the unit's licence.
-3. Files. A file's own licence is that of its best unit (ties: the first name). A file whose units are
-   ``FILE_SHARE`` of its sentences or more is a licence file and speaks for its directory; several in
-   one directory: the best unit's.
-4. Inheritance. A file without a licence of its own takes that of the nearest ancestor directory that
+3. Whole texts. A cued file is also one sparse vector, compared with the full licence texts of
+   ``license_texts``. Frequencies count as 1 + ln tf, document frequencies run over the full texts, so
+   that a file's verdict doesn't hang on the corpus; a term in none of them weighs most. A file that
+   holds too few of a text's terms to reach ``FULL_COSINE`` is passed over within its row.
+4. Files. A file's own licence is that of its whole text, else that of its best unit (ties: the first
+   name). A file with a whole text's licence, or whose units are ``FILE_SHARE`` of its sentences or
+   more, is a licence file and speaks for its directory; several in one directory: whole texts first,
+   then the best cosine's.
+5. Inheritance. A file without a licence of its own takes that of the nearest ancestor directory that
    has one: the distinct directories, not the files, are joined to their ancestors' licences by path.
 
 Edge cases: null text has no units; a null path is the root; no match and no licensed ancestor give
@@ -18,12 +23,19 @@ null; rows that share an id share its best licence; empty tables give no rows.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from itertools import accumulate
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import settled, table
+from millrace.llm.common import let, settled, table
 
 LEAST_COSINE, FILE_SHARE, MOST_TEMPLATES = 0.6, 0.4, 10_000
+FULL_COSINE = 0.75
 
 #: Short public notices by which the licences are named in headers.
 TEMPLATES = (
@@ -73,6 +85,47 @@ def score_units(units: DataFrame, templates: DataFrame, least: float = LEAST_COS
     return best.select("unit", F.array_min(F.transform(F.filter("all", lambda x: x.cosine == F.col("cosine")), lambda x: x.license)).alias("license"), "cosine")
 
 
+def full_texts() -> dict[str, str]:
+    """The full licence texts by name."""
+    return {p.stem: p.read_text(encoding="utf-8") for p in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))}
+
+
+def _full_vectors(texts: dict[str, str], least: float) -> tuple[list, list, float, list]:
+    """Of the full texts: (license, term, weight in the unit vector), (term, idf), the idf of other terms, and (terms, need).
+
+    A file at ``least`` from a text holds terms with least**2 of its squared weight; ``need`` of them at the fewest.
+    """
+    counts = {name: Counter(x for x in re.split("[^a-z0-9]+", text.lower()) if x) for name, text in texts.items()}
+    df = Counter(term for c in counts.values() for term in c)
+    idf = {term: math.log((1 + len(texts)) / (1 + n)) + 1 for term, n in df.items()}
+    vectors, wanted = [], []
+    for name, c in counts.items():
+        w = {term: (1 + math.log(n)) * idf[term] for term, n in c.items()}
+        squares = sum(x * x for x in w.values())
+        vectors += [(name, term, x / math.sqrt(squares)) for term, x in w.items()]
+        sums = accumulate(sorted((x * x for x in w.values()), reverse=True))
+        wanted.append((sorted(w), sum(s < (least * least - 1e-5) * squares for s in sums) + 1))
+    return vectors, list(idf.items()), math.log(1 + len(texts)) + 1, wanted
+
+
+def whole_texts(files: DataFrame, texts: dict[str, str], least: float = FULL_COSINE) -> DataFrame:
+    """(doc_id, dir, license, cosine) of the cued files that are near a full licence text as a whole. ``files``: doc_id, dir, t."""
+    spark = files.sparkSession
+    vectors, idf, other, wanted = _full_vectors(texts, least)
+    of_text = F.array(*[F.struct(F.split(F.lit(" ".join(terms)), " ").alias("terms"), F.lit(need).alias("need")) for terms, need in wanted])
+    terms = F.array_distinct(F.split(F.lower("t"), "[^a-z0-9]+"))
+    enough = let(terms, lambda s: (F.size(s) >= min(need for _, need in wanted)) & F.exists(of_text, lambda x: F.size(F.array_intersect(s, x.terms)) >= x.need))
+    held = settled(files.filter(F.col("t").rlike(CUE)).filter(enough).withColumn("digest", F.sha2("t", 256)))
+    tf = held.dropDuplicates(["digest"]).select("digest", _terms("t").alias("term")).groupBy("digest", "term").agg(F.count("*").alias("tf"))
+    weight = (F.lit(1.0) + F.log("tf")) * F.coalesce("idf", F.lit(other))
+    weighted = tf.join(F.broadcast(spark.createDataFrame(idf, "term string, idf double")), "term", "left").select("digest", "term", weight.alias("w"))  # bounded by the full texts
+    norms = weighted.groupBy("digest").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighted.join(F.broadcast(spark.createDataFrame(vectors, "license string, term string, tw double")), "term").groupBy("digest", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    scored = dots.join(norms, "digest").select("digest", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine")).filter(F.col("cosine") >= least)
+    best = held.join(scored, "digest").groupBy("doc_id", "dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best"))
+    return best.select("doc_id", "dir", "best.license", (-F.col("best.c")).alias("cosine"))
+
+
 def directory(path: Column) -> Column:
     return F.coalesce(F.regexp_replace(path, "/?[^/]*$", ""), F.lit(""))
 
@@ -85,13 +138,15 @@ def scan(files: DataFrame, templates: DataFrame, doc_id: str = "doc_id", path: s
     units = settled(parts.groupBy("unit").agg(F.count("*").alias("n")))
     matched = score_units(units, templates)
     hits = parts.join(matched, "unit").groupBy("doc_id", "dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best"), F.count("*").alias("n_hits"), F.max("n_sentences").alias("n_sentences"))
-    own = settled(hits.select("doc_id", "dir", F.col("best.license").alias("own_license"), (-F.col("best.c")).alias("cosine"), (F.col("n_hits") >= FILE_SHARE * F.col("n_sentences")).alias("is_file")))
-    licensed = own.filter("is_file").groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "own_license")).alias("b")).select(F.col("dir").alias("license_dir"), F.col("b.own_license").alias("dir_license"))
+    by_unit = hits.select("doc_id", "dir", F.struct(F.lit(1).alias("rank"), "best.c", "best.license").alias("b"), (F.col("n_hits") >= FILE_SHARE * F.col("n_sentences")).alias("is_file"))
+    whole = whole_texts(rows, full_texts()).select("doc_id", "dir", F.struct(F.lit(0).alias("rank"), (-F.col("cosine")).alias("c"), "license").alias("b"), F.lit(True).alias("is_file"))
+    own = settled(by_unit.union(whole).groupBy("doc_id", "dir").agg(F.min("b").alias("b"), F.max("is_file").alias("is_file")))
+    licensed = own.filter("is_file").groupBy("dir").agg(F.min("b").alias("b")).select(F.col("dir").alias("license_dir"), F.col("b.license").alias("dir_license"))
     dirs = rows.select("dir").distinct()
     depth = F.size(F.split("dir", "/"))
     above = dirs.select("dir", F.explode(F.sequence(F.lit(0), depth)).alias("k")).select("dir", "k", F.when(F.col("k") == 0, "").otherwise(F.expr("substring_index(dir, '/', k)")).alias("license_dir")).filter("k = 0 OR license_dir <> ''")
     near = above.join(licensed, "license_dir").groupBy("dir").agg(F.max(F.struct("k", "license_dir", "dir_license")).alias("x")).select("dir", "x.license_dir", "x.dir_license")
-    of_file = own.groupBy(F.col("doc_id").alias("o_id")).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "own_license")).alias("o")).select("o_id", "o.own_license", (-F.col("o.c")).alias("cosine"))
+    of_file = own.groupBy(F.col("doc_id").alias("o_id")).agg(F.min("b").alias("o")).select("o_id", F.col("o.license").alias("own_license"), (-F.col("o.c")).alias("cosine"))
     out = rows.select("doc_id", "dir").join(near, "dir", "left").join(of_file, F.col("doc_id").eqNullSafe(F.col("o_id")), "left")
     return out.select("doc_id", "dir", "own_license", "cosine", "dir_license", "license_dir", F.coalesce("own_license", "dir_license").alias("license"))
 

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -221,3 +222,17 @@ def test_licenses(spark):
     assert rows[7] == rows[8] == rows[9] == (None, None, None, None)
     assert licenses.scan(df, licenses.default_templates(spark)).count() == len(files)
     assert licenses.scan(df.limit(0), licenses.default_templates(spark)).count() == 0
+
+
+def test_full_license_texts(spark):
+    """Full texts, wrapped otherwise and with a holder, are licence files; a long text with one notice isn't."""
+    names = ["MIT", "BSD-3-Clause", "BSD-2-Clause", "Apache-2.0", "GPL-3.0", "GPL-2.0"]
+    full = licenses.full_texts()
+    wrapped = {n: "Copyright (c) 2019-2024 Jo Doe and others. All rights reserved.\n\n" + textwrap.fill(full[n], 61) for n in names}
+    files = [(i, f"{n}/LICENSE", wrapped[n]) for i, n in enumerate(names)] + [(100 + i, f"{n}/src/x.py", "pass") for i, n in enumerate(names)]
+    prose = "\n".join(f"word{i % 700} the of and to in this is a line of text" for i in range(2000))
+    files += [(200, "p/readme", prose + "\nLicensed under the Apache License, Version 2.0."), (201, "p/x.py", "pass"), (0, "MIT/LICENSE", wrapped["MIT"]), (300, "MIT/NOTICE", "Licensed under the Apache License, Version 2.0.")]
+    rows = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string"), licenses.default_templates(spark)).collect()}
+    assert {n: (rows[i].own_license, rows[100 + i].license, rows[100 + i].license_dir) for i, n in enumerate(names)} == {n: (n, n, n) for n in names}
+    assert all(0.75 <= rows[i].cosine <= 1 for i in range(len(names)))
+    assert rows[200].own_license == "Apache-2.0" and rows[201].license is None
