@@ -5,6 +5,7 @@ assignment sign are lexed as source or configuration syntax into name-literal pa
 
     password = "..."      export API_KEY=...      "clientSecret": "..."      db.pwd: ...
     part = "..."; auth_token = part + "..."       (constants are propagated)
+    api_token: str = "..."      var token string = "..."      config["password"] = "..."
 
 A pair is scored by how sensitive its target's name is and how random its literal looks; from
 ``THRESHOLD`` on each source literal gives a span of kind ``literal``. A constant with a harmless
@@ -42,6 +43,15 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|change.?me|example|placeholder|your[_-
 
 _NAME = r"[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*"
 _LEFT = re.compile(rf"""(?:"({_NAME})"|'({_NAME})'|({_NAME}))[ \t]*(?::=|=>|=(?![=~])|:(?!:|//))[ \t]*""", re.A)
+_TYPE = r"""(?:[&*]|\[\]|'\w{1,20}[ \t]+|mut[ \t]+){0,4}[A-Za-z_$][\w$]{0,60}(?:(?:\.|::)[A-Za-z_$][\w$]{0,60}){0,6}(?:[<\[][^="'\n]{0,60}[>\]])?(?:\[\])?(?:[?!](?!=))?"""
+#: A name with its type before the sign, or a quoted subscript.
+_DECLARED = re.compile(
+    rf"""(?<![\w$.\-])(?:({_NAME})[?!]?[ \t]*:(?!:)[ \t]*{_TYPE}(?:[ \t]*\|[ \t]*{_TYPE}){{0,4}}|var[ \t]+({_NAME})[ \t]+{_TYPE}|({_NAME})[ \t]+(?:\*?string|\[\](?:byte|rune)))[ \t]*=(?![=~>])[ \t]*"""
+    rf"""|\[[ \t]*(?:"({_NAME})"|'({_NAME})')[ \t]*\][ \t]*(?::=|=>|=(?![=~])|:(?!:|//))[ \t]*""",
+    re.A,
+)
+_SUBSCRIPT = 4
+_TYPE_WORDS = frozenset("str string bytes char any".split())
 _QUOTED = re.compile(r"""[bruf]{0,2}(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)""")
 _RAW = re.compile(r"""[^\s"'`;,(){}\[\]#]+""")
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*")
@@ -107,11 +117,28 @@ def assignments(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
         line_end = text.find("\n", sign.start())
         line_end = len(text) if line_end < 0 else line_end
         line, at = text[start:line_end], 0
-        while m := _LEFT.search(line, at):
+        declared, typed = _DECLARED.finditer(line), -1
+        d = next(declared, None)
+        while (m := _LEFT.search(line, at)) or d:
+            while d and (not m or d.start() <= m.start()):
+                subscript, raw = d.lastindex >= _SUBSCRIPT, _RAW.match(line, d.end())
+                # a bare word after a type may be the rest of a plain value (a: b=c), so only literals and constants count
+                if d.start() >= at and (subscript or _QUOTED.match(line, d.end()) or raw and raw[0] in known):
+                    if value := _value(line, d.end(), _Shifted(known, start)):
+                        name, spans = d[d.lastindex], [(a + start, b + start) for a, b in value[1]]
+                        found.append((name, value[0], spans))
+                        if not subscript:
+                            known[name], typed = (value[0], spans), d.end()
+                d = next(declared, None)
+            if not m:
+                break
             at = m.end()
+            if at < typed:  # the type isn't the value
+                continue
             if value := _value(line, at, _Shifted(known, start)):
                 name, spans = m[m.lastindex], [(a + start, b + start) for a, b in value[1]]
-                known[name] = (value[0], spans)
+                if at != typed or name not in _TYPE_WORDS:
+                    known[name] = (value[0], spans)
                 found.append((name, value[0], spans))
                 at = max(at, value[2]) if line[at : at + 1] in "\"'`" else at
     return found

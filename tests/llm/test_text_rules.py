@@ -133,3 +133,32 @@ def test_secrets_against_python(spark, odd, empty):
 )
 def test_secret_literals(text, found):
     assert [text[s[0] : s[3]] for s in secrets.scan_text(text)[1]] == found
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ('api_token: str = "Zx81kQ0pLm22vT"', ["Zx81kQ0pLm22vT"]),
+        ('const dbPassword: string = "Zx81kQ0pLm22vT";', ["Zx81kQ0pLm22vT"]),
+        ('let auth_token: &str = "Zx81kQ0pLm22vT";', ["Zx81kQ0pLm22vT"]),
+        ("static API_TOKEN: &'static str = \"Zx81kQ0pLm22vT\";", ["Zx81kQ0pLm22vT"]),
+        ('secret: Optional[str] = "Zx81kQ0pLm22vT"', ["Zx81kQ0pLm22vT"]),
+        ('token: string | null = "Zx81kQ0pLm22vT"', ["Zx81kQ0pLm22vT"]),
+        ('def f(user: str, password: str = "Zx81kQ0pLm22vT"):', ["Zx81kQ0pLm22vT"]),
+        ('var token string = "Zx81kQ0pLm22vT"', ["Zx81kQ0pLm22vT"]),
+        ('\tapiKey string = "Zx81kQ0pLm22vT"', ["Zx81kQ0pLm22vT"]),
+        ('config["password"] = "Zx81kQ0pLm22vT"', ["Zx81kQ0pLm22vT"]),
+        ("os.environ['API_KEY'] = 'Zx81kQ0pLm22vT'", ["Zx81kQ0pLm22vT"]),
+        ('part: str = "Zx81kQ0pLm22vT"\ncfg["db"]["password"] = part', ["Zx81kQ0pLm22vT"]),
+        ('part: str = "Zx81kQ0pLm22vT"; auth_token: str = part', ["Zx81kQ0pLm22vT"]),
+        ('error: password = "Zx81kQ0pLm22vT"', ["Zx81kQ0pLm22vT"]),
+        ("secret: Zx81kQ0pLm22vT=ab", ["Zx81kQ0pLm22vT=ab"]),
+        ('x: int = 1, password = "Zx81kQ0pLm22vT"', ["Zx81kQ0pLm22vT"]),
+        ('name: str = "Zx81kQ0pLm22vT"\npassword: str', []),
+        ('token: SecretString2abcdef = "hello"', []),
+        ('if config["password"] == "Zx81kQ0pLm22vT":', []),
+        ('if (ok ? token : other != "Zx81kQ0pLm22vT")', []),
+    ],
+)
+def test_typed_and_subscripted_secrets(text, found):
+    assert [text[s[0] : s[3]] for s in secrets.scan_text(text)[1]] == found
