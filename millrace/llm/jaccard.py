@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join of documents by chosen paths.
 
 A document is the set of its five-word shingles. Documents with equal sets are copies and are
-joined as one set, named after its least id. Over the distinct sets:
+joined as one set under a key of its own; ids only name the classes. Over the distinct sets:
 
 1. Tree. In each of ``RUNS`` runs a set x enters one bucket per token that it samples: those whose
    hash lies below SPREAD / (LEAST |x|). Two sets that sample the same shared token meet. A bucket of
@@ -21,8 +21,8 @@ bucket with probability 0.81, of a twice split one with 0.71; ``runs_for`` gives
 a target recall, here 0.999 at any depth.
 
 Edge cases: texts of one to four words have one shingle, of all their words; texts without words (null,
-empty, blanks) are copies of one another without links; rows that repeat an id and text are copies;
-a null id takes part but names no class; an empty table gives no rows; only id and text are read.
+empty, blanks) are copies of one another without links; rows that repeat an id and text are copies,
+rows that repeat an id with other texts are documents of their own; a null id takes part but names no class; an empty table gives no rows; only id and text are read.
 """
 
 from __future__ import annotations
@@ -77,9 +77,9 @@ def _sketch(tokens: np.ndarray) -> bytes:
 
 
 def _trees(docs: DataFrame, width: int) -> DataFrame:
-    """Per document: two signatures of its set, the set's size, its sketch and its buckets by level, with their parents."""
+    """Per document: its text's hash ``h``, two signatures of its set, the set's size, its sketch and its buckets by level, with their parents."""
     pair = pa.list_(pa.struct([("p", pa.int64()), ("n", pa.int64())]))
-    fields = [pa.field("doc_id", pa.int64()), pa.field("s1", pa.int64()), pa.field("s2", pa.int64()), pa.field("n", pa.int32()), pa.field("sketch", pa.binary()), pa.field("l1", pa.list_(pa.int64())), pa.field("l2", pair), pa.field("l3", pair)]
+    fields = [pa.field("doc_id", pa.int64()), pa.field("h", pa.int64()), pa.field("s1", pa.int64()), pa.field("s2", pa.int64()), pa.field("n", pa.int32()), pa.field("sketch", pa.binary()), pa.field("l1", pa.list_(pa.int64())), pa.field("l2", pair), pa.field("l3", pair)]
     runs = np.array([7919 * (i + 1) for i in range(RUNS)], dtype=np.uint64)
     seeds = mix(runs)
 
@@ -97,12 +97,12 @@ def _trees(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ids = b.column(0).to_pylist()
-            for lo, hi, data, offsets in byte_slices(b, 1):
-                rows = [(i, *one(s)) for i, s in zip(ids[lo:hi], shingles(data, offsets, width), strict=True)]
+            ids, hs = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for lo, hi, data, offsets in byte_slices(b, 2):
+                rows = [(i, h, *one(s)) for i, h, s in zip(ids[lo:hi], hs[lo:hi], shingles(data, offsets, width), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
 
-    return docs.mapInArrow(run, "doc_id long, s1 long, s2 long, n int, sketch binary, l1 array<long>, l2 array<struct<p:long,n:long>>, l3 array<struct<p:long,n:long>>")
+    return docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, s1 long, s2 long, n int, sketch binary, l1 array<long>, l2 array<struct<p:long,n:long>>, l3 array<struct<p:long,n:long>>")
 
 
 def _leaves(sets: DataFrame) -> DataFrame:
@@ -251,12 +251,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, least: float = LEAST, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: ``class_id`` (least id of its group), ``n_links`` (other distinct texts at ``least`` or more) and ``n_copies`` (rows with an equal set, itself included)."""
+    return _classes(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), least, width).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def _classes(docs: DataFrame, least: float, width: int) -> DataFrame:
+    """``near_duplicates`` of (doc_id, text) with each row's text hash ``h`` and its class's own key ``class``."""
     if least < LEAST:
         raise ValueError(f"the sampling rates hold from a similarity of {LEAST} on")
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     trees = settled(_trees(docs, width))
-    copies = settled(trees.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.count("*").cast("long").alias("n_copies"), F.max("n").alias("n")))
-    sets = trees.join(copies.select("s1", "s2", "id"), ["s1", "s2"]).filter("doc_id = id AND n > 0")
+    # one row stands for the set: that of the least id, any without one
+    stand = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
+    copies = trees.groupBy("s1", "s2").agg(stand.alias("row"), F.count("*").cast("long").alias("n_copies"), F.max("n").alias("n"))
+    copies = settled(copies.select("s1", "s2", F.monotonically_increasing_id().alias("id"), F.col("row.doc_id").alias("named"), F.col("row.h").alias("h"), "n_copies", "n"))
+    sets = trees.join(copies.select("s1", "s2", "id", "named", F.col("h").alias("of")), ["s1", "s2"]).filter("doc_id <=> named AND h = of AND n > 0")
     leaves = _leaves(sets)
     lists = leaves.groupBy("id").agg(F.collect_set("node").alias("leaves"))
     members = leaves.join(lists, "id").join(sets.select("id", "n", "sketch").dropDuplicates(["id"]), "id")
@@ -269,7 +277,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, width: int = WIDTH, d
 
     key = ["node", "a", "b"]
     kept = members.repartition(*key).sortWithinPartitions(*key).mapInArrow(keep, "node long, a int, b int, own int, id long, n int, leaves array<long>")
-    seats = settled(kept.groupBy("id").agg(F.max("n").alias("n"), F.first("leaves").alias("leaves"), F.collect_list(F.struct("node", "a", "b", "own")).alias("seats")))
+    seats = kept.groupBy("id").agg(F.max("n").alias("n"), F.first("leaves").alias("leaves"), F.collect_list(F.struct("node", "a", "b", "own")).alias("seats"))
+    seats = settled(seats.join(copies.select("id", "named", F.col("h").alias("of")), "id"))
 
     def bring(batches):
         """Each document's tokens, once per seat, if its set is the one that the seat was given for."""
@@ -287,10 +296,14 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, width: int = WIDTH, d
                     types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], ["node", "a", "b", "own", "id", "n", "leaves", "tokens"])
 
-    carried = docs.withColumnRenamed("doc_id", "id").join(seats, "id").mapInArrow(bring, "node long, a int, b int, own int, id long, n int, leaves array<long>, tokens binary")
+    found_at = F.col("doc_id").eqNullSafe(F.col("named")) & (F.col("h") == F.col("of"))
+    carried = docs.join(seats, found_at).select("id", "n", "leaves", "seats", "text").mapInArrow(bring, "node long, a int, b int, own int, id long, n int, leaves array<long>, tokens binary")
 
     def link(batches):
         for t in _groups(batches, ["node", "a", "b"]):
+            first = np.unique(t["id"].to_numpy(), return_index=True)[1]
+            if len(first) < t.num_rows:  # a repeated row brought the set twice
+                t = t.take(pa.array(np.sort(first)))
             if t.num_rows > 1:
                 ids, links, label = _links(t, least)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(label)], ["id", "links", "label"])
@@ -299,19 +312,24 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, width: int = WIDTH, d
     links = found.groupBy("id").agg(F.sum("links").alias("n_links"))
     classes = components(found.select(F.col("id").alias("u"), F.col("label").alias("v")))
     known = links.join(classes, "id", "left")
-    named = copies.join(known, "id", "left").select("s1", "s2", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
-    return trees.select("doc_id", "s1", "s2").join(named, ["s1", "s2"]).select("doc_id", "class_id", "n_links", "n_copies")
+    known = copies.join(known, "id", "left").select("s1", "s2", F.coalesce("class_id", "id").alias("class"), "named", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
+    names = known.groupBy("class").agg(F.min("named").alias("class_id"))
+    return trees.select("doc_id", "h", "s1", "s2").join(known.join(names, "class").drop("named"), ["s1", "s2"])
 
 
 def one_of_each(docs: DataFrame, least: float = LEAST, width: int = WIDTH) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is the least of their class; of rows that share such an id, one. Rows without an id stay."""
-    found = near_duplicates(docs, least, width)
-    chosen = settled(found.filter("doc_id = class_id OR doc_id IS NULL").select("doc_id"))
-    repeated = not chosen.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-    kept = docs.join(chosen.distinct(), docs["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
+    """One row of ``docs`` per class, of the least ``doc_id``; rows that share an id but no class stay each. Rows without an id stay."""
+    found = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), least, width).filter("doc_id IS NOT NULL")
+    # the least (doc_id, h) of a class and how many rows have it
+    rows = found.groupBy("class", "doc_id", "h").agg(F.count("*").alias("n"))
+    chosen = settled(rows.groupBy("class").agg(F.min(F.struct("doc_id", "h", "n")).alias("x")).select("x.*"))
+    repeated = not chosen.filter("n > 1").isEmpty()
+    h = F.xxhash64("text")
+    kept = docs.filter("doc_id IS NOT NULL").join(chosen, (docs["doc_id"] == chosen["doc_id"]) & (h == chosen["h"]), "left_semi")
     if repeated:
-        kept = kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.filter("doc_id IS NULL"))
-    return kept
+        name = "_h" + "_" * max(map(len, docs.columns))
+        kept = kept.withColumn(name, h).dropDuplicates(["doc_id", name]).drop(name)
+    return kept.union(docs.filter("doc_id IS NULL"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,18 @@ def test_rows_without_an_id_stay(spark):
     assert Counter(r.doc_id for r in jaccard.one_of_each(df).collect()) == {None: 2, 1: 1, 3: 1}
 
 
+def test_sets_are_keyed_by_themselves(spark, words):
+    """Near copies among rows without an id, with a repeated id and other texts, and repeated in other batches."""
+    rng = random.Random(8)
+    a, b, c = ([rng.choice(words) for _ in range(200)] for _ in range(3))
+    near = lambda t, k: " ".join([*t[:k], "changed", *t[k + 1 :]])
+    rows = [(None, " ".join(a)), (None, near(a, 20)), (1, near(a, 60)), (7, " ".join(b)), (7, " ".join(c)), (8, near(b, 30)), (9, near(c, 30)), (8, near(b, 30)), (None, " ".join(a))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert found_classes(df) == brute_classes(rows)
+    kept = Counter(map(tuple, jaccard.one_of_each(df).collect()))
+    assert kept == Counter([rows[0], rows[1], rows[2], rows[3], rows[4], rows[8]])
+
+
 def test_recall_formula():
     assert jaccard.run_recall(levels=1) == pytest.approx(0.811, abs=1e-3)
     assert 1 - (1 - jaccard.run_recall()) ** jaccard.RUNS > 0.999 and jaccard.runs_for(0.999) <= jaccard.RUNS
