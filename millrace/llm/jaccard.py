@@ -6,8 +6,8 @@ joined as one set under a key of its own; ids only name the classes. Over the di
 1. Tree. In each of ``RUNS`` runs a set x enters one bucket per token that it samples: those whose
    hash lies below SPREAD / (LEAST |x|). Two sets that sample the same shared token meet. A bucket of
    more than ``SMALL`` sets is split again on sampled tokens of its members, down to three levels.
-   Each document finds its own buckets from its tokens alone; Spark counts them level by level, and
-   only buckets with two sets or more go on.
+   Each document finds its own buckets from its tokens alone; Spark counts them level by level, only
+   buckets with two sets or more go on, and only members of a split bucket are dealt to its children.
 2. Candidates. In each leaf bucket, minwise sketches (``BINS`` bins of a byte) rule out pairs far below
    the threshold. A pair counts in its least common bucket only. A leaf of more than ``BLOCK`` sets is
    brute-forced in blocks, every pair of blocks its own group.
@@ -15,10 +15,11 @@ joined as one set under a key of its own; ids only name the classes. Over the di
    Output is linear: per set the number of links, and a spanning star of its local component.
 4. Classes. Large-star/small-star rounds merge the stars into connected components.
 
-Recall. At similarity s a level keeps a pair together with probability p = 1 - exp(-2 s SPREAD q /
-((1 + s) LEAST)), q the next level's p (1 at the last). At s = 0.8 a run finds a pair of an unsplit
-bucket with probability 0.81, of a twice split one with 0.71; ``runs_for`` gives the runs for
-a target recall, here 0.999 at any depth.
+Recall. The share s of the larger set that two sets of similarity s have in common is least where one
+holds the other; a level then keeps them together with probability p = 1 - exp(-s SPREAD q / LEAST), q the
+next level's p (1 at the last). At s = 0.8 a run finds such a pair in an unsplit bucket with probability
+0.78, in a twice split one with 0.64. ``runs_for`` gives the runs for ``RECALL`` at any depth, here 8.
+The sketch rules out a pair at 0.8 when its estimate is ``SLACK`` too low, 4.5 standard deviations.
 
 Edge cases: texts of one to four words have one shingle, of all their words; texts without words (null,
 empty, blanks) are copies of one another without links; rows that repeat an id and text are copies,
@@ -40,21 +41,26 @@ from millrace.llm.bytehash import U, byte_slices, mix, shingles
 from millrace.llm.common import settled, table
 
 WIDTH, LEAST = 5, 0.8
-SPREAD, RUNS, SMALL, BLOCK, BINS, SLACK = 1.5, 6, 256, 4096, 128, 0.16
+SPREAD, SMALL, BLOCK, BINS, SLACK = 1.5, 256, 4096, 128, 0.16
+RECALL = 0.9995
 
 
 def run_recall(similarity: float = LEAST, spread: float = SPREAD, levels: int = 3) -> float:
-    """The chance that one run brings a pair of that similarity to a common bucket of the given level."""
-    mean, p = 2 * similarity / (1 + similarity) * spread / LEAST, 1.0
+    """The least chance that one run brings a pair of that similarity to a common bucket of the given level."""
+    mean, p = similarity * spread / LEAST, 1.0
     for _ in range(levels):
         p = 1 - math.exp(-mean * p)
     return p
 
 
 def runs_for(recall: float, **at) -> int:
+    """Runs that bring a pair at ``LEAST`` together with that chance, in the deepest bucket and whatever the two sizes."""
     return math.ceil(math.log(1 - recall) / math.log(1 - run_recall(**at)))
 
 
+RUNS = runs_for(RECALL)
+
+
 def _sampled(nodes: np.ndarray, tokens: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of the node, child) for every token that a node samples; long sets go in blocks."""
     at, child = [], []
@@ -106,20 +112,21 @@ def _trees(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _leaves(sets: DataFrame) -> DataFrame:
-    """(id, node, c): the buckets with at least two sets where brute force takes over, and their sizes."""
-    out, parents = [], None
+    """(id, node, c): the buckets with at least two sets where brute force takes over, and their sizes.
+
+    Only members of a bucket of more than ``SMALL`` sets go down a level, and only into that bucket's children.
+    """
+    out, rows = [], sets.select("id", F.explode("l1").alias("node"))
     for level in (1, 2, 3):
-        if level == 1:
-            rows = sets.select("id", F.explode("l1").alias("node"))
-        else:
-            rows = sets.select("id", F.explode(f"l{level}").alias("x")).select("id", F.col("x.p").alias("p"), F.col("x.n").alias("node"))
-            rows = rows.join(parents.withColumnRenamed("node", "p"), "p", "left_semi").select("id", "node")
         rows = rows.distinct()
         sizes = rows.groupBy("node").agg(F.count("*").alias("c")).filter("c > 1")
-        here = settled(rows.join(sizes, "node"))
-        out.append(here.filter(F.lit(level == 3) | (F.col("c") <= SMALL)).select("id", "node", "c"))
-        parents = here.filter(F.col("c") > SMALL).select("node").distinct()
-    return reduce(DataFrame.union, out)
+        here = settled(rows.join(sizes, "node").select("id", "node", "c"))
+        out.append(here if level == 3 else here.filter(F.col("c") <= SMALL))
+        if level == 3 or here.filter(F.col("c") > SMALL).isEmpty():
+            return reduce(DataFrame.union, out)
+        split = here.filter(F.col("c") > SMALL).groupBy("id").agg(F.collect_set("node").alias("split"))  # a set's own samples only
+        below = sets.join(split, "id").select("id", F.expr(f"transform(filter(l{level + 1}, x -> array_contains(split, x.p)), x -> x.n)").alias("child"))
+        rows = below.select("id", F.explode("child").alias("node"))
 
 
 def _blocked(rows: DataFrame) -> DataFrame:
