@@ -6,6 +6,7 @@ give the hash of any substring in constant time.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 _INVERSE = U(pow(int(BASE), -1, 1 << 64))
 _table = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+_KEPT, _SHORT = 1 << 21, 64
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
@@ -29,13 +31,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, below ``n``."""
-    if len(_powers[0]) < n:
-        for i, b in enumerate((BASE, _INVERSE)):
-            p = np.full(2 * n, b, dtype=np.uint64)
-            p[0] = 1
-            _powers[i] = np.cumprod(p)
-    return _powers[0][:n], _powers[1][:n]
+    """Powers of the base and of its inverse, below ``n``; only short tables are kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    found = []
+    for b in (BASE, _INVERSE):
+        p = np.full(max(n, 1 << 16), b, dtype=np.uint64)
+        p[0] = 1
+        found.append(np.cumprod(p))
+    if n <= _KEPT:
+        _powers[:] = found
+    return found[0][:n], found[1][:n]
 
 
 def prefix_hashes(data: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -63,8 +69,12 @@ def byte_slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iter
         lo = hi
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of each word (a run of bytes other than space and tab to carriage return; words end with their row)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of each word (a run of bytes other than space and tab to carriage return; words end with their row).
+
+    Words of over ``_SHORT`` bytes have a digest, as prefix sums are weak on long strings of a certain form. Hashes are
+    taken in blocks of words, so that a long text needs no more memory than its words.
+    """
     gap = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
@@ -72,8 +82,19 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     start = np.flatnonzero(~gap & (before[:-1] | edge[:-1]))
     after = np.concatenate([gap[1:], [True]]) if len(gap) else gap
     end = np.flatnonzero(~gap & (after | edge[1:])) + 1
-    prefix = prefix_hashes(data)
-    return substring_hash(prefix, start, end), np.searchsorted(offsets, start, "right") - 1
+    out = np.empty(len(start), dtype=np.uint64)
+    short = end - start <= _SHORT
+    lo = 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(start, start[lo] + block)))
+        at, use = start[lo], short[lo:hi]
+        if use.any():
+            prefix = prefix_hashes(data[at : end[lo:hi][use][-1]])
+            out[lo:hi][use] = substring_hash(prefix, start[lo:hi][use] - at, end[lo:hi][use] - at)
+        lo = hi
+    for i in np.flatnonzero(~short).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out, np.searchsorted(offsets, start, "right") - 1
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:

@@ -83,9 +83,9 @@ def _sketch(tokens: np.ndarray) -> bytes:
 
 
 def _trees(docs: DataFrame, width: int) -> DataFrame:
-    """Per document: its text's hash ``h``, two signatures of its set, the set's size, its sketch and its buckets by level, with their parents."""
-    pair = pa.list_(pa.struct([("p", pa.int64()), ("n", pa.int64())]))
-    fields = [pa.field("doc_id", pa.int64()), pa.field("h", pa.int64()), pa.field("s1", pa.int64()), pa.field("s2", pa.int64()), pa.field("n", pa.int32()), pa.field("sketch", pa.binary()), pa.field("l1", pa.list_(pa.int64())), pa.field("l2", pair), pa.field("l3", pair)]
+    """Per document: its text's hash ``h``, two signatures of its set, the set's size, its sketch and its buckets by level, those of a level in a list for each of the level above."""
+    nested = pa.list_(pa.list_(pa.int64()))
+    fields = [pa.field("doc_id", pa.int64()), pa.field("h", pa.int64()), pa.field("s1", pa.int64()), pa.field("s2", pa.int64()), pa.field("n", pa.int32()), pa.field("sketch", pa.binary()), pa.field("l1", pa.list_(pa.int64())), pa.field("l2", nested), pa.field("l3", nested)]
     runs = np.array([7919 * (i + 1) for i in range(RUNS)], dtype=np.uint64)
     seeds = mix(runs)
 
@@ -98,8 +98,10 @@ def _trees(docs: DataFrame, width: int) -> DataFrame:
         i2, l2 = _sampled(l1, tokens, limit)
         i3, l3 = _sampled(l2, tokens, limit)
         as_list = lambda x: x.astype(np.int64).tolist()
-        pairs = lambda p, n: [{"p": a, "n": b} for a, b in zip(as_list(p), as_list(n), strict=True)]
-        return *signatures, len(tokens), _sketch(tokens), as_list(l1), pairs(l1[i2], l2), pairs(l2[i3], l3)
+        below = lambda n, i, child: [as_list(x) for x in np.split(child[np.argsort(i, kind="stable")], np.searchsorted(np.sort(i), np.arange(1, n)))] if n else []
+        by_l2 = np.argsort(i2, kind="stable")  # the third level stands by the order of the second
+        i3 = np.argsort(by_l2)[i3]
+        return *signatures, len(tokens), _sketch(tokens), as_list(l1), below(len(l1), i2, l2), below(len(l2), i3, l3)
 
     def run(batches):
         for b in batches:
@@ -108,10 +110,10 @@ def _trees(docs: DataFrame, width: int) -> DataFrame:
                 rows = [(i, h, *one(s)) for i, h, s in zip(ids[lo:hi], hs[lo:hi], shingles(data, offsets, width), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
 
-    return docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, s1 long, s2 long, n int, sketch binary, l1 array<long>, l2 array<struct<p:long,n:long>>, l3 array<struct<p:long,n:long>>")
+    return docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, s1 long, s2 long, n int, sketch binary, l1 array<long>, l2 array<array<long>>, l3 array<array<long>>")
 
 
-def _leaves(sets: DataFrame) -> DataFrame:
+def _leaves(sets: DataFrame, trees: DataFrame) -> DataFrame:
     """(id, node, c): the buckets with at least two sets where brute force takes over, and their sizes.
 
     Only members of a bucket of more than ``SMALL`` sets go down a level, and only into that bucket's children.
@@ -125,8 +127,9 @@ def _leaves(sets: DataFrame) -> DataFrame:
         if level == 3 or here.filter(F.col("c") > SMALL).isEmpty():
             return reduce(DataFrame.union, out)
         split = here.filter(F.col("c") > SMALL).groupBy("id").agg(F.collect_set("node").alias("split"))  # a set's own samples only
-        below = sets.join(split, "id").select("id", F.expr(f"transform(filter(l{level + 1}, x -> array_contains(split, x.p)), x -> x.n)").alias("child"))
-        rows = below.select("id", F.explode("child").alias("node"))
+        above, children = ("l1", "l2") if level == 1 else ("flatten(l2)", "l3")
+        own = trees.select("id", F.expr(above).alias("above"), F.col(children).alias("children")).join(split, "id")
+        rows = own.select("id", F.explode(F.expr("flatten(filter(children, (x, i) -> array_contains(split, above[i])))")).alias("node"))
 
 
 def _blocked(rows: DataFrame) -> DataFrame:
@@ -266,15 +269,15 @@ def _classes(docs: DataFrame, least: float, width: int) -> DataFrame:
     if least < LEAST:
         raise ValueError(f"the sampling rates hold from a similarity of {LEAST} on")
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    trees = settled(_trees(docs, width))
-    # one row stands for the set: that of the least id, any without one
-    stand = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h"))
+    trees = settled(_trees(docs, width).withColumn("id", F.monotonically_increasing_id()))
+    # one row stands for the set and names it: that of the least id, any without one
+    stand = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "id"))
     copies = trees.groupBy("s1", "s2").agg(stand.alias("row"), F.count("*").cast("long").alias("n_copies"), F.max("n").alias("n"))
-    copies = settled(copies.select("s1", "s2", F.monotonically_increasing_id().alias("id"), F.col("row.doc_id").alias("named"), F.col("row.h").alias("h"), "n_copies", "n"))
-    sets = trees.join(copies.select("s1", "s2", "id", "named", F.col("h").alias("of")), ["s1", "s2"]).filter("doc_id <=> named AND h = of AND n > 0")
-    leaves = _leaves(sets)
+    copies = settled(copies.select("s1", "s2", F.col("row.id").alias("id"), F.col("row.doc_id").alias("named"), F.col("row.h").alias("h"), "n_copies", "n"))
+    sets = trees.select("id", "l1").join(copies.filter("n > 0").select("id"), "id", "left_semi")
+    leaves = _leaves(sets, trees)
     lists = leaves.groupBy("id").agg(F.collect_set("node").alias("leaves"))
-    members = leaves.join(lists, "id").join(sets.select("id", "n", "sketch").dropDuplicates(["id"]), "id")
+    members = leaves.join(lists, "id").join(trees.select("id", "n", "sketch"), "id")
     members = _blocked(members).withColumn("x", F.explode("blocks")).select("node", F.col("x.a").alias("a"), F.col("x.b").alias("b"), "own", "id", "n", "leaves", "sketch")
 
     def keep(batches):

@@ -6,28 +6,33 @@ the suffixes are sorted bucket by bucket and no array over the whole corpus is e
 
 1. Anchors. Each window of ``LENGTH`` bytes has an anchor, the place of its least ``GRAM``-byte hash.
    Equal windows have equal anchors, and neighbouring windows mostly share one, so a document is a
-   short list of runs of windows. Anchors are counted over the corpus; a run whose anchor occurs
-   once cannot repeat and is done.
-2. Buckets. The other runs travel with their bytes (about three bytes per suffix) to the bucket of
-   their anchor; runs with equal bytes near each other are merged first, and known to repeat.
+   short list of runs of windows, each with a 128-bit digest of its bytes. A run whose anchor occurs
+   once cannot repeat and is done; runs of equal bytes repeat and are done too.
+2. Buckets. Where an anchor has several different runs, one run of each kind travels with its bytes
+   (about two bytes per suffix) to the bucket of the anchor. So a passage that very many rows share
+   comes once, however many they are.
 3. Sorting. A task takes its buckets one after the other, about ``CHUNK`` bytes at a time. Suffixes
-   are first grouped by fingerprints of their first and last bytes. Long ties are resolved by cover
-   ranks: positions of a difference cover are ranked beforehand by their next bytes. Any two tied
-   suffixes reach cover positions at one common shift below the cover's period, so each comparison costs two lookups, and
-   partitioning around pivots, all ties at once, sorts them.
-4. An anchor in more than ``HEAVY`` places would make a bucket too large for one task. Its windows
-   travel one by one, by two fingerprints of all their bytes, spread over all tasks.
-
-Fingerprints have 64 bits, or 128 where nothing else is compared.
-
-Edge cases: null and short texts lose nothing; rows that repeat an id and text are occurrences of each
-other; a text without break (one letter, one period) is handled as any other; an empty table gives
-no rows; only id and text are read.
+   are first grouped by their first and last bytes. Long ties are resolved by cover ranks: positions of
+   a difference cover are ranked beforehand by their next bytes. Any two tied suffixes reach cover
+   positions at one common shift below the cover's period, so each comparison costs two lookups, and
+   partitioning around pivots, all ties at once, sorts them. Groups are formed by fingerprints and
+   verified on all their bytes.
+4. Large buckets. An anchor with more than ``BUCKET`` different runs is refined by deeper bytes: its
+   windows are cut into pieces of ``PIECE`` windows by their place relative to the anchor, and pieces
+   meet by a digest of the bytes that all windows of the piece share (a prefix of 385 bytes instead
+   of 32). What is left of a window then is less than ``PIECE`` bytes on either side, compared as bytes.
+
+No call holds more than CHUNK + BUCKET * 768 bytes of text. Texts of any length are read in blocks.
+
+Edge cases: null and short texts lose nothing; rows with equal texts are occurrences of each
+other, whatever their ids; a text without break (one letter, one period) is handled as any other; an
+empty table gives no rows; only id and text are read.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +41,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bytehash import U, byte_slices, mix, powers, prefix_hashes, substring_hash
-from millrace.llm.common import partitions, settled, table
+from millrace.llm.common import settled, table
 
 #: COVER: the cover of period 73 with ten residues.
-LENGTH, GRAM, COVER, CHUNK, HEAVY = 400, 32, 1, 1 << 20, 50_000
+LENGTH, GRAM, COVER, CHUNK, BUCKET, PIECE = 400, 32, 1, 1 << 19, 1024, 16
+_TEXT = ["h1", "h2"]
 _PLACE_BITS = 28
 
 
@@ -66,15 +72,15 @@ def _shifts(r: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: first window, number of windows, row, anchor hash; and the prefix hashes."""
-    prefix = prefix_hashes(data)
+    """Runs of windows with one anchor: first window, number of windows, row, place of the anchor, hash of its gram. Under 2**28 bytes."""
     empty = np.empty(0, dtype=np.int64)
     width = length - GRAM + 1
     if len(data) < length:
-        return empty, empty, empty, np.empty(0, dtype=np.uint64), prefix
+        return empty, empty, empty, empty, np.empty(0, dtype=np.uint64)
     n = len(data) - length + 1
-    _, inverse = powers(len(prefix))
-    grams = (prefix[GRAM:] - prefix[:-GRAM]) * inverse[: len(data) - GRAM + 1]
+    prefix = prefix_hashes(data)
+    grams = (prefix[GRAM:] - prefix[:-GRAM]) * powers(len(prefix))[1][: len(data) - GRAM + 1]
+    del prefix
     keys = (grams ^ (grams >> U(32))) * U(0x9E3779B97F4A7C15)
     keys &= ~U((1 << _PLACE_BITS) - 1)
     keys |= np.arange(len(keys), dtype=np.uint64)
@@ -91,76 +97,130 @@ def _runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarra
     first = np.flatnonzero(start)
     total = np.concatenate([[0], np.cumsum(inside)])
     count = np.diff(np.append(total[first], total[-1]))
-    return first, count, row[first], mix(grams[anchor[first]]), prefix
+    return first, count, row[first], anchor[first], mix(grams[anchor[first]])
+
+
+def _digests(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of ``data[lo:hi]``, as two integers."""
+    view = memoryview(np.ascontiguousarray(data))
+    out = b"".join(hashlib.blake2b(view[a:z], digest_size=16).digest() for a, z in zip(lo.tolist(), hi.tolist(), strict=True))
+    pairs = np.frombuffer(out, dtype=np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
 
 
-def _anchors(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, text_hash, anchors): each anchor of a document, twice if it has several runs of it."""
+def _blocks(data: np.ndarray, offsets: np.ndarray, length: int):
+    """The bytes in blocks of bounded size with their offsets and place: as they are, or overlapping pieces of one long text, a window in one of them."""
+    step = 2 * CHUNK
+    if len(data) <= step + length or len(offsets) > 2:
+        yield data, offsets, 0
+        return
+    for at in range(0, len(data) - length + 1, step):
+        part = data[at : at + step + length - 1]
+        yield part, np.array([0, len(part)]), at
+
+
+def _anchored(rows: DataFrame, length: int) -> DataFrame:
+    """(h1, h2, runs): per row its text's runs, each an anchor a, a digest c1, c2 of its bytes, its first window and number of windows."""
+    kinds = (("a", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("start", pa.int32()), ("n", pa.int32()))
 
     def run(batches):
         for b in batches:
-            ids, hashes = b.column(0), b.column(1)
-            for lo, hi, data, offsets in byte_slices(b, 2):
-                _, _, row, anchor, _ = _runs(data, offsets, length)
-                ends = np.searchsorted(row, np.arange(hi - lo + 1))
-                lists = []
-                for i in range(hi - lo):
-                    values, counts = np.unique(anchor[ends[i] : ends[i + 1]], return_counts=True)
-                    lists.append(np.repeat(values, np.minimum(counts, 2)).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), hashes.slice(lo, hi - lo), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "text_hash", "anchors"])
+            for lo, hi, data, offsets in byte_slices(b, 2, CHUNK):
+                parts = []
+                for part, edges, at in _blocks(data, offsets, length):
+                    first, count, row, _, anchor = _runs(part, edges, length)
+                    c1, c2 = _digests(part, first, first + count - 1 + length)
+                    parts.append((row, anchor.astype(np.int64), c1, c2, at + first - edges[row], count))
+                row, *columns = (np.concatenate(x) for x in zip(*parts, strict=True))
+                runs = pa.StructArray.from_arrays([pa.array(x, k) for x, (_, k) in zip(columns, kinds, strict=True)], [k for k, _ in kinds])
+                ends = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), runs)], ["h1", "h2", "runs"])
+
+    return rows.select(*_TEXT, "text").mapInArrow(run, "h1 long, h2 long, runs array<struct<a:long,c1:long,c2:long,start:int,n:int>>")
+
+
+def _marked_texts(batches, keep):
+    """(h1, h2, bytes, marks that ``keep``) of each text that has marks, once per task as far as memory of the last texts goes."""
+    done: set[tuple[int, int]] = set()
+    for b in batches:
+        h1, h2 = b.column("h1").to_pylist(), b.column("h2").to_pylist()
+        for lo, hi, data, offsets in byte_slices(b, b.schema.get_field_index("text"), CHUNK):
+            for i in range(lo, hi):
+                if (h1[i], h2[i]) not in done:
+                    if len(done) >= 10_000:
+                        done.clear()
+                    done.add((h1[i], h2[i]))
+                    yield h1[i], h2[i], data[offsets[i - lo] : offsets[i - lo + 1]], [m for m in b.column("marks")[i].as_py() if m["large"] == keep]
+
+
+def _in_batches(rows, schema: pa.Schema, bytes_of, most: int = 4 << 20):
+    """Record batches of tuples, of about ``most`` bytes each."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += 64 + bytes_of(r)
+        if size >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def _carry(marked: DataFrame, length: int) -> DataFrame:
+    """The marked runs of buckets of bounded size, with their bytes."""
+    schema = pa.schema([("bucket", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("multi", pa.bool_()), ("bytes", pa.binary())])
+
+    def rows(batches):
+        for h1, h2, data, marks in _marked_texts(batches, False):
+            for m in marks:
+                yield m["a"], h1, h2, m["start"], m["n"], m["multi"], data[m["start"] : m["start"] + m["n"] - 1 + length].tobytes()
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, anchors array<long>")
+    def run(batches):
+        yield from _in_batches(rows(batches), schema, lambda r: len(r[-1]))
 
+    return marked.mapInArrow(run, "bucket long, h1 long, h2 long, start int, n int, multi boolean, bytes binary")
 
-_RUN = "bucket long, second long, doc_id long, text_hash long, start long, n int, multi boolean, bytes binary"
 
+def _pieces(marked: DataFrame, length: int) -> DataFrame:
+    """The marked runs of large buckets as pieces of up to ``PIECE`` windows.
 
-def _carry(flagged: DataFrame, length: int) -> DataFrame:
-    """The runs of repeated anchors: those found to repeat here (no bytes, any bucket) and one of each kind with its bytes."""
+    The windows of a piece lie ``PIECE`` * j + i bytes before the anchor, for one j and i from ``i0`` to ``i1``. All of them
+    hold the ``core`` (its digest, with the anchor and j: k1, k2); the i-th holds the last i bytes of ``left`` before it
+    and the first PIECE - 1 - i bytes of ``right`` behind it. ``start`` is the window of i1.
+    """
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("i0", pa.int32()), ("i1", pa.int32()), ("left", pa.binary()), ("right", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int32()), ("multi", pa.bool_())])
+
+    def rows(batches):
+        for h1, h2, data, marks in _marked_texts(batches, True):
+            for m in marks:
+                text = np.ascontiguousarray(data[m["start"] : m["start"] + m["n"] - 1 + length])
+                at = int(_runs(text, np.array([0, len(text)]), length)[3][0])
+                raw = text.tobytes()
+                for j in range((at - m["n"] + 1) // PIECE, at // PIECE + 1):
+                    i0, i1 = max(0, at - m["n"] + 1 - PIECE * j), min(PIECE - 1, at - PIECE * j)
+                    lo, hi = at - PIECE * j, at - PIECE * j - PIECE + 1 + length
+                    key = hashlib.blake2b(raw[lo:hi] + b"%d %d" % (m["a"], j), digest_size=16).digest()
+                    k1, k2 = np.frombuffer(key, dtype=np.int64).tolist()
+                    yield k1, k2, i0, i1, raw[lo - i1 : lo], raw[hi : hi + PIECE - 1 - i0], h1, h2, m["start"] + lo - i1, m["multi"]
 
     def run(batches):
-        for b in batches:
-            ids, hashes = b.column("doc_id").to_pylist(), b.column("text_hash").to_numpy()
-            for lo, hi, data, offsets in byte_slices(b, b.schema.get_field_index("text")):
-                marks = b.column("marks").slice(lo, hi - lo).flatten()
-                if not len(marks):
-                    continue
-                known = marks.field("a").to_numpy(zero_copy_only=False).astype(np.uint64)
-                heavy = np.unique(known[marks.field("heavy").to_numpy(zero_copy_only=False)])
-                first, count, row, anchor, prefix = _runs(data, offsets, length)
-                use = np.isin(anchor, known)
-                first, count, row, anchor = first[use], count[use], row[use], anchor[use]
-                if not len(first):
-                    continue
-                content = substring_hash(prefix, first, first + count - 1 + length)
-                _, one, back, many = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
-                multi = many[back] > 1
-                lead = np.zeros(len(first), dtype=bool)
-                lead[one] = True
-                by_window = lead & np.isin(anchor, heavy)
-                yield _rows(ids, hashes, lo, offsets, row[multi], first[multi], count[multi], mix(content[multi] ^ mix(first[multi].astype(np.uint64) + hashes[lo + row[multi]].astype(np.uint64))))
-                whole = lead & ~by_window
-                sizes = count[whole] - 1 + length
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                text = data[np.arange(ends[-1]) - np.repeat(ends[:-1], sizes) + np.repeat(first[whole], sizes)]
-                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(text.tobytes())]).cast(pa.binary())
-                yield _rows(ids, hashes, lo, offsets, row[whole], first[whole], count[whole], anchor[whole], multi[whole], packed)
-                if by_window.any():
-                    n = count[by_window]
-                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[by_window], n)
-                    second = substring_hash(prefix_hashes(data, 1), at, at + length)
-                    yield _rows(ids, hashes, lo, offsets, np.repeat(row[by_window], n), at, np.ones(len(at), dtype=np.int64), substring_hash(prefix, at, at + length), np.repeat(multi[by_window], n), None, second)
-
-    return flagged.mapInArrow(run, _RUN)
-
-
-def _rows(ids, hashes, lo, offsets, row, first, count, bucket, multi=None, packed=None, second=None) -> pa.RecordBatch:
-    n = len(row)
-    columns = [
-        pa.array(bucket.astype(np.int64)), pa.nulls(n, pa.int64()) if second is None else pa.array(second.astype(np.int64)), pa.array([ids[lo + r] for r in row.tolist()], pa.int64()), pa.array(hashes[lo + row]),
-        pa.array((first - offsets[row]).astype(np.int64)), pa.array(count.astype(np.int32)), pa.nulls(n, pa.bool_()) if multi is None else pa.array(multi), pa.nulls(n, pa.binary()) if packed is None else packed,
-    ]
-    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _RUN.split(", ")])
+        yield from _in_batches(rows(batches), schema, lambda r: 32)
+
+    return marked.mapInArrow(run, "k1 long, k2 long, i0 int, i1 int, left binary, right binary, h1 long, h2 long, start int, multi boolean")
+
+
+def _refined(pieces: DataFrame) -> DataFrame:
+    """(h1, h2, lo, hi) of repeated starts in large buckets: pieces of equal bytes, then the windows of pieces with one core."""
+    kind = ["k1", "k2", "i0", "i1", "left", "right"]
+    same = pieces.groupBy(*kind).agg(F.count("*").alias("k"), F.max("multi").alias("multi"), F.min(F.struct("h1", "h2", "start")).alias("row"))
+    whole = pieces.join(same.filter("k > 1").select(*kind), kind).select("h1", "h2", F.col("start").alias("lo"), F.expr("start + i1 - i0").alias("hi"))
+    several = same.groupBy("k1", "k2").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("k1", "k2")
+    windows = same.join(several, ["k1", "k2"]).select("*", F.explode(F.sequence("i0", "i1")).alias("i"))
+    before = F.expr("CASE WHEN i > 0 THEN substring(left, -i, i) ELSE X'' END")
+    windows = windows.select("k1", "k2", "i", before.alias("before"), F.expr(f"substring(right, 1, {PIECE - 1} - i)").alias("behind"), F.expr("multi OR k > 1").alias("known"), "row.h1", "row.h2", F.expr("row.start + i1 - i").alias("lo"))
+    window = ["k1", "k2", "i", "before", "behind"]
+    twice = windows.groupBy(*window).agg(F.count("*").alias("c"), F.max("known").alias("any")).filter("c > 1 OR any").select(*window)
+    return whole.union(windows.filter("NOT known").join(twice, window, "left_semi").select("h1", "h2", "lo", F.col("lo").alias("hi")))
 
 
 def _classes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,6 +287,7 @@ def same_windows(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, r:
     if not len(tied):
         return label
     ranks = _cover_ranks(data, prefix, reach, member, starts[tied])
+    del prefix, key
     pivot = first[group[tied]]
     group = group[tied]
     while True:
@@ -236,50 +297,53 @@ def same_windows(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, r:
         label[tied[equal]] = next_label + group[equal]
         next_label += int(group.max()) + 1
         if equal.all():
-            return label
+            return _verified(data, starts, label, length)
         group, tied = 2 * group[~equal] + (order[~equal] > 0), tied[~equal]
         first, group, _ = _classes(group)
         pivot = tied[first[group]]
 
 
+def _verified(data: np.ndarray, starts: np.ndarray, label: np.ndarray, length: int) -> np.ndarray:
+    """The classes with every member compared byte by byte with its class's first; one that differs (fingerprints met) is classed by its bytes."""
+    first, group, size = _classes(label)
+    at = np.flatnonzero(size[group] > 1)
+    one, other = starts[at], starts[first[group[at]]]
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    words = np.ndarray((len(data) + 1,), dtype=np.uint64, buffer=padded, strides=(1,))
+    differs = np.zeros(len(at), dtype=bool)
+    for k in [*range(0, length - 8, 8), length - 8]:
+        differs |= words[one + k] != words[other + k]
+    if differs.any():
+        label, new, after = label.copy(), {}, int(label.max()) + 1
+        for i in at[differs].tolist():
+            text = (int(label[i]), data[starts[i] : starts[i] + length].tobytes())
+            label[i] = new.setdefault(text, after + len(new))
+    return label
+
+
 def _repeats(t: pa.Table, length: int) -> pa.RecordBatch | None:
-    """From whole buckets: (doc_id, text_hash, lo, hi) for maximal runs of starts whose window occurs elsewhere."""
-    start, count = t["start"].to_numpy(), t["n"].to_numpy().astype(np.int64)
-    known = pa.compute.is_null(t["multi"]).to_numpy(zero_copy_only=False)
-    parts = [(np.flatnonzero(known), start[known], start[known] + count[known] - 1)]
-    single = pa.compute.is_valid(t["second"]).to_numpy(zero_copy_only=False)
-    multi = pa.compute.fill_null(t["multi"], False).to_numpy(zero_copy_only=False)
-    if single.any():
-        at = np.flatnonzero(single)
-        pair = np.stack([t["bucket"].to_numpy()[at], t["second"].filter(pa.array(single)).to_numpy()], axis=1)
-        _, back = np.unique(pair, axis=0, return_inverse=True)
-        hit = np.bincount(back.ravel(), 1 + multi[at])[back.ravel()] > 1
-        parts.append((at[hit], start[at[hit]], start[at[hit]]))
-    run = np.flatnonzero(~known & ~single)
-    if len(run):
-        texts = t["bytes"].take(pa.array(run)).combine_chunks()
-        texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
-        n = count[run]
-        base = np.cumsum(n) - n
-        within = np.arange(n.sum()) - np.repeat(base, n)
-        label = same_windows(data, np.repeat(offsets[:-1] - offsets[0], n) + within, length)
-        hit = np.bincount(label, np.repeat(1 + multi[run], n))[label] > 1
-        edge = np.zeros(len(hit) + 1, dtype=bool)
-        edge[base] = edge[-1] = True
-        opens = np.flatnonzero(hit & (edge[:-1] | ~np.concatenate([[False], hit[:-1]])))
-        closes = np.flatnonzero(hit & (edge[1:] | ~np.concatenate([hit[1:], [False]])))
-        owner = np.searchsorted(base, opens, "right") - 1
-        mine = ~multi[run][owner]  # the others are known already
-        owner, opens, closes = owner[mine], opens[mine], closes[mine]
-        parts.append((run[owner], start[run[owner]] + within[opens], start[run[owner]] + within[closes]))
-    at, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
-    if not len(at):
+    """From whole buckets: (h1, h2, lo, hi) for maximal runs of starts whose window occurs elsewhere, in runs that aren't known to repeat."""
+    start, n = t["start"].to_numpy().astype(np.int64), t["n"].to_numpy().astype(np.int64)
+    multi = t["multi"].to_numpy()
+    texts = t["bytes"].combine_chunks()
+    texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    base = np.cumsum(n) - n
+    within = np.arange(n.sum()) - np.repeat(base, n)
+    label = same_windows(data, np.repeat(offsets[:-1] - offsets[0], n) + within, length)
+    hit = np.bincount(label, np.repeat(1 + multi, n))[label] > 1
+    edge = np.zeros(len(hit) + 1, dtype=bool)
+    edge[base] = edge[-1] = True
+    opens = np.flatnonzero(hit & (edge[:-1] | ~np.concatenate([[False], hit[:-1]])))
+    closes = np.flatnonzero(hit & (edge[1:] | ~np.concatenate([hit[1:], [False]])))
+    owner = np.searchsorted(base, opens, "right") - 1
+    mine = ~multi[owner]
+    owner, opens, closes = owner[mine], opens[mine], closes[mine]
+    if not len(owner):
         return None
-    take = lambda c: t[c].take(pa.array(at)).combine_chunks()
-    columns = [take("doc_id"), take("text_hash"), pa.array(lo.astype(np.int64)), pa.array(hi.astype(np.int64))]
-    return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns], ["doc_id", "text_hash", "lo", "hi"])
+    columns = [t["h1"].to_numpy()[owner], t["h2"].to_numpy()[owner], (start[owner] + within[opens]).astype(np.int32), (start[owner] + within[closes]).astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "lo", "hi"])
 
 
 def _sort_buckets(runs: DataFrame, length: int) -> DataFrame:
@@ -292,7 +356,7 @@ def _sort_buckets(runs: DataFrame, length: int) -> DataFrame:
             cuts = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1
             if held and held[-1].column("bucket")[held[-1].num_rows - 1].as_py() != bucket[0]:
                 cuts = np.concatenate([[0], cuts])
-            lengths = pa.compute.fill_null(pa.compute.binary_length(b.column("bytes")), 64).to_numpy(zero_copy_only=False).astype(np.int64)
+            lengths = pa.compute.binary_length(b.column("bytes")).to_numpy().astype(np.int64)
             total = np.concatenate([[0], np.cumsum(lengths)])
             lo = 0
             for cut in cuts:
@@ -307,7 +371,7 @@ def _sort_buckets(runs: DataFrame, length: int) -> DataFrame:
         if held and (out := _repeats(pa.Table.from_batches(held), length)) is not None:
             yield out
 
-    return runs.mapInArrow(work, "doc_id long, text_hash long, lo long, hi long")
+    return runs.mapInArrow(work, "h1 long, h2 long, lo int, hi int")
 
 
 def _spans(repeats: list[dict] | None, length: int) -> list[tuple[int, int]]:
@@ -321,27 +385,34 @@ def _spans(repeats: list[dict] | None, length: int) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, heavy: int = HEAVY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` as (doc_id, text, repeats): every maximal run lo..hi of starts of repeated windows in the bytes of its text."""
+def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` as (doc_id, text, repeats): runs lo..hi that cover every start of a repeated window in the bytes of its text."""
     least = 2 * difference_cover(COVER)[0]
     if length < least:
         raise ValueError(f"length must be {least} or more")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = max(partitions(docs), size // (16 << 20))
-    anchors = settled(_anchors(rows.select("doc_id", "text_hash", "text"), length))  # read twice, small beside the texts
-    seen = anchors.select("doc_id", "text_hash", F.explode("anchors").alias("a"))
-    dup = seen.groupBy("a").agg(F.count("*").alias("c")).filter("c > 1").select("a", (F.col("c") > heavy).alias("heavy"))
-    marks = seen.join(dup, "a").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("a", "heavy")).alias("marks"))
-    marks = marks.select(F.col("doc_id").alias("m_id"), F.col("text_hash").alias("m_hash"), "marks")
-    marked = rows.join(marks, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash")), "left").select("doc_id", "text_hash", "text", "marks")
-    runs = _carry(marked.filter(F.size("marks") > 0), length).repartition(width, "bucket").sortWithinPartitions("bucket")
-    found = _sort_buckets(runs, length).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("repeats"))
-    found = found.select(F.col("doc_id").alias("f_id"), F.col("text_hash").alias("f_hash"), "repeats")
-    return marked.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("text_hash") == F.col("f_hash")), "left").select("doc_id", "text", "repeats")
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, heavy: int = HEAVY) -> DataFrame:
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+    anchored = settled(_anchored(rows, length))
+    seen = anchored.select(*_TEXT, F.explode("runs").alias("r")).select(*_TEXT, "r.*")
+    twice = seen.groupBy("a").agg(F.count("*").alias("c")).filter("c > 1").select("a")
+    shared = settled(seen.join(twice, "a"))
+    kind = ["a", "c1", "c2"]
+    kinds = settled(shared.groupBy(*kind).agg(F.count("*").alias("k"), F.max("n").alias("n"), F.min(F.struct(*_TEXT, "start")).alias("row")))
+    whole = shared.join(kinds.filter("k > 1").select(*kind), kind).select(*_TEXT, F.col("start").alias("lo"), F.expr("start + n - 1").alias("hi"))
+    several = kinds.groupBy("a").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    runs = kinds.join(several, "a").select("row.*", "a", "n", F.expr("k > 1").alias("multi"), F.expr(f"kinds > {bucket}").alias("large"))
+    some_large = not several.filter(F.col("kinds") > bucket).isEmpty()
+    marks = runs.groupBy(*_TEXT).agg(F.collect_list(F.struct("start", "n", "a", "multi", "large")).alias("marks"))  # a text's own runs
+    marked = rows.join(marks, _TEXT, "left").select("doc_id", "text", *_TEXT, "marks")
+    carried = _carry(marked.filter(F.exists("marks", lambda m: ~m.large)), length)
+    found = whole.union(_sort_buckets(carried.repartition("bucket").sortWithinPartitions("bucket"), length))
+    if some_large:
+        found = found.union(_refined(_pieces(marked.filter(F.exists("marks", lambda m: m.large)), length)))
+    found = found.groupBy(*_TEXT).agg(F.collect_set(F.struct("lo", "hi")).alias("repeats"))
+    return marked.join(found, _TEXT, "left").select("doc_id", "text", "repeats")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET) -> DataFrame:
     """doc_id, kept (binary: the remaining bytes; cuts may fall inside a character) and spans of what was removed."""
 
     def run(batches):
@@ -354,7 +425,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, heavy: int = HEAVY) ->
                 spans.append([{"start": a, "end": z} for a, z in cut])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["doc_id", "kept", "spans"])
 
-    return repeated_spans(docs, length, heavy).mapInArrow(run, "doc_id long, kept binary, spans array<struct<start:long,end:long>>")
+    return repeated_spans(docs, length, bucket).mapInArrow(run, "doc_id long, kept binary, spans array<struct<start:long,end:long>>")
 
 
 def digest(removed: DataFrame) -> DataFrame:

@@ -180,9 +180,9 @@ def brute_repeats(rows, length=400):
     return out
 
 
-@pytest.mark.parametrize("heavy", [50_000, 1])
-def test_suffix_repeats(spark, odd, empty, corpus, corpus_df, heavy):
-    digests = lambda df: Counter(map(tuple, suffixes.digest(suffixes.remove_repeats(df, heavy=heavy)).collect()))
+@pytest.mark.parametrize("bucket", [suffixes.BUCKET, 1])
+def test_suffix_repeats(spark, odd, empty, corpus, corpus_df, bucket):
+    digests = lambda df: Counter(map(tuple, suffixes.digest(suffixes.remove_repeats(df, bucket=bucket)).collect()))
     assert digests(corpus_df) == brute_repeats(corpus)
     assert digests(odd) == brute_repeats([(r.doc_id, r.text) for r in odd.collect()])
     edge = [(1, "a" * 900), (2, "xyz" * 300 + "q" * 450), (3, "ab" * 199 + "c"), (4, "z" + "xyz" * 140), (5, "é" * 200 + "n"), (6, "n" + "é" * 200), (7, "p" * 399), (8, "p" * 400), (9, "p" * 400 + "r")]
@@ -258,3 +258,30 @@ def test_full_license_texts(spark):
     assert {n: (rows[i].own_license, rows[100 + i].license, rows[100 + i].license_dir) for i, n in enumerate(names)} == {n: (n, n, n) for n in names}
     assert all(0.75 <= rows[i].cosine <= 1 for i in range(len(names)))
     assert rows[200].own_license == "Apache-2.0" and rows[201].license is None
+
+
+def test_one_passage_in_many_places(spark):
+    """A bucket of more different runs than ``BUCKET``: it is refined, and results equal those by windows."""
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(450))
+    rows = [(i, "".join(rng.choice("ab") for _ in range(420)) + passage + "".join(rng.choice("cd") for _ in range(420))) for i in range(1500)]
+    got = {r.doc_id: r.spans for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    near = Counter(t[j : j + 400] for _, t in rows for j in range(390, 500))
+    for i, t in rows:
+        hit = [j for j in range(390, 500) if near[t[j : j + 400]] > 1]
+        assert [(s.start, s.end) for s in got[i]] == [(hit[0], hit[-1] + 400)] and 395 < hit[0] <= 420
+
+
+def test_windows_are_verified(monkeypatch):
+    """Fingerprints that meet don't make windows equal."""
+    plain = suffixes.substring_hash
+    monkeypatch.setattr(suffixes, "substring_hash", lambda *a: plain(*a) % suffixes.U(7))
+    test_window_classes()
+
+
+def test_long_text_in_blocks(monkeypatch, spark, corpus):
+    monkeypatch.setattr(suffixes, "CHUNK", 700)
+    text = " ".join(t for _, t in corpus[:30])
+    rows = [(1, text[:9000]), (2, text[3000:5000] + "x" + text[100:2500])]
+    got = Counter(map(tuple, suffixes.digest(suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))).collect()))
+    assert got == brute_repeats(rows)
