@@ -120,8 +120,8 @@ def _blocks(data: np.ndarray, offsets: np.ndarray, length: int):
 
 
 def _anchored(rows: DataFrame, length: int) -> DataFrame:
-    """(h1, h2, runs): per row its text's runs, each an anchor a, a digest c1, c2 of its bytes, its first window and number of windows."""
-    kinds = (("a", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("start", pa.int32()), ("n", pa.int32()))
+    """(h1, h2, runs): per row its text's kinds of runs, each an anchor a, a digest c1, c2 of its bytes, its number of windows and its first windows."""
+    kinds = (("a", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int32()))
 
     def run(batches):
         for b in batches:
@@ -130,13 +130,18 @@ def _anchored(rows: DataFrame, length: int) -> DataFrame:
                 for part, edges, at in _blocks(data, offsets, length):
                     first, count, row, _, anchor = _runs(part, edges, length)
                     c1, c2 = _digests(part, first, first + count - 1 + length)
-                    parts.append((row, anchor.astype(np.int64), c1, c2, at + first - edges[row], count))
-                row, *columns = (np.concatenate(x) for x in zip(*parts, strict=True))
-                runs = pa.StructArray.from_arrays([pa.array(x, k) for x, (_, k) in zip(columns, kinds, strict=True)], [k for k, _ in kinds])
-                ends = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
+                    parts.append((row, anchor.astype(np.int64), c1, c2, count, at + first - edges[row]))
+                parts = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                order = np.lexsort((parts[5], parts[3], parts[2], parts[0]))
+                row, *columns, start = (x[order] for x in parts)
+                new = np.ones(len(row), dtype=bool)
+                new[1:] = (row[1:] != row[:-1]) | (columns[1][1:] != columns[1][:-1]) | (columns[2][1:] != columns[2][:-1])
+                starts = pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(new), len(row)).astype(np.int32)), pa.array(start, pa.int32()))
+                runs = pa.StructArray.from_arrays([*(pa.array(x[new], k) for x, (_, k) in zip(columns, kinds, strict=True)), starts], [*(k for k, _ in kinds), "starts"])
+                ends = np.searchsorted(row[new], np.arange(hi - lo + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), runs)], ["h1", "h2", "runs"])
 
-    return rows.select(*_TEXT, "text").mapInArrow(run, "h1 long, h2 long, runs array<struct<a:long,c1:long,c2:long,start:int,n:int>>")
+    return rows.select(*_TEXT, "text").mapInArrow(run, "h1 long, h2 long, runs array<struct<a:long,c1:long,c2:long,n:int,starts:array<int>>>")
 
 
 def _marked_texts(batches, keep):
@@ -212,7 +217,9 @@ def _pieces(marked: DataFrame, length: int) -> DataFrame:
 def _refined(pieces: DataFrame) -> DataFrame:
     """(h1, h2, lo, hi) of repeated starts in large buckets: pieces of equal bytes, then the windows of pieces with one core."""
     kind = ["k1", "k2", "i0", "i1", "left", "right"]
+    pieces = settled(pieces)
     same = pieces.groupBy(*kind).agg(F.count("*").alias("k"), F.max("multi").alias("multi"), F.min(F.struct("h1", "h2", "start")).alias("row"))
+    same = settled(same)
     whole = pieces.join(same.filter("k > 1").select(*kind), kind).select("h1", "h2", F.col("start").alias("lo"), F.expr("start + i1 - i0").alias("hi"))
     several = same.groupBy("k1", "k2").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("k1", "k2")
     windows = same.join(several, ["k1", "k2"]).select("*", F.explode(F.sequence("i0", "i1")).alias("i"))
@@ -232,10 +239,33 @@ def _classes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order[new], group, np.diff(np.append(np.flatnonzero(new), len(key)))
 
 
+def _verified(data: np.ndarray, at: np.ndarray, classes: tuple[np.ndarray, np.ndarray, np.ndarray], *spans: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``classes`` of places by fingerprint, with each member's bytes in the spans behind its place compared with those of the class's first.
+
+    Members that differ (fingerprints met) are classed by their bytes.
+    """
+    first, group, size = classes
+    tied = np.flatnonzero(size[group] > 1)
+    one, other = at[tied], at[first[group[tied]]]
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    words = np.ndarray((len(data) + 1,), dtype=np.uint64, buffer=padded, strides=(1,))
+    differs = np.zeros(len(tied), dtype=bool)
+    for lo, hi in spans:
+        for k in [*range(lo, hi - 8, 8), hi - 8]:
+            differs |= words[one + k] != words[other + k]
+    if not differs.any():
+        return classes
+    new: dict[tuple, int] = {}
+    for i in tied[differs].tolist():
+        text = (int(group[i]), *(data[at[i] + lo : at[i] + hi].tobytes() for lo, hi in spans))
+        group[i] = new.setdefault(text, len(size) + len(new))
+    return _classes(group)
+
+
 def _cover_ranks(data: np.ndarray, prefix: np.ndarray, reach: int, member: np.ndarray, tied: np.ndarray) -> np.ndarray:
     """Per cover position that a tied suffix can reach its rank by the next ``reach`` bytes, in their order; -1 elsewhere.
 
-    Equal strings are found by fingerprint and ranked once. The distinct ones are sorted by words of
+    Equal strings are found by fingerprint, verified and ranked once. The distinct ones are sorted by words of
     eight bytes, each round only within the ties that are left.
     """
     period = len(member)
@@ -245,7 +275,7 @@ def _cover_ranks(data: np.ndarray, prefix: np.ndarray, reach: int, member: np.nd
     near = np.cumsum(near)[: max(0, len(data) - reach + 1)] > 0
     cover = np.flatnonzero(near & np.tile(member, len(data) // period + 1)[: len(near)])
     out = np.full(len(data), -1, dtype=np.int64)
-    first, back, _ = _classes(substring_hash(prefix, cover, cover + reach))
+    first, back, _ = _verified(data, cover, _classes(substring_hash(prefix, cover, cover + reach)), (0, reach))
     at = cover[first]
     padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
     rank = np.zeros(len(at), dtype=np.int64)
@@ -280,7 +310,7 @@ def same_windows(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, r:
     reach = length - period
     prefix = prefix_hashes(data)
     key = substring_hash(prefix, starts, starts + period) + U(3) * substring_hash(prefix, starts + reach, starts + length)
-    first, group, size = _classes(key)
+    first, group, size = _verified(data, starts, _classes(key), (0, period), (reach, length))
     label = np.where(size[group] == 1, group, -1)
     next_label = len(size)
     tied = np.flatnonzero(label < 0)
@@ -297,30 +327,12 @@ def same_windows(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, r:
         label[tied[equal]] = next_label + group[equal]
         next_label += int(group.max()) + 1
         if equal.all():
-            return _verified(data, starts, label, length)
+            return label
         group, tied = 2 * group[~equal] + (order[~equal] > 0), tied[~equal]
         first, group, _ = _classes(group)
         pivot = tied[first[group]]
 
 
-def _verified(data: np.ndarray, starts: np.ndarray, label: np.ndarray, length: int) -> np.ndarray:
-    """The classes with every member compared byte by byte with its class's first; one that differs (fingerprints met) is classed by its bytes."""
-    first, group, size = _classes(label)
-    at = np.flatnonzero(size[group] > 1)
-    one, other = starts[at], starts[first[group[at]]]
-    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
-    words = np.ndarray((len(data) + 1,), dtype=np.uint64, buffer=padded, strides=(1,))
-    differs = np.zeros(len(at), dtype=bool)
-    for k in [*range(0, length - 8, 8), length - 8]:
-        differs |= words[one + k] != words[other + k]
-    if differs.any():
-        label, new, after = label.copy(), {}, int(label.max()) + 1
-        for i in at[differs].tolist():
-            text = (int(label[i]), data[starts[i] : starts[i] + length].tobytes())
-            label[i] = new.setdefault(text, after + len(new))
-    return label
-
-
 def _repeats(t: pa.Table, length: int) -> pa.RecordBatch | None:
     """From whole buckets: (h1, h2, lo, hi) for maximal runs of starts whose window occurs elsewhere, in runs that aren't known to repeat."""
     start, n = t["start"].to_numpy().astype(np.int64), t["n"].to_numpy().astype(np.int64)
@@ -394,11 +406,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, bucket: int = BUCKET,
     rows = rows.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
     anchored = settled(_anchored(rows, length))
     seen = anchored.select(*_TEXT, F.explode("runs").alias("r")).select(*_TEXT, "r.*")
-    twice = seen.groupBy("a").agg(F.count("*").alias("c")).filter("c > 1").select("a")
+    twice = seen.groupBy("a").agg(F.sum(F.size("starts")).alias("c")).filter("c > 1").select("a")
     shared = settled(seen.join(twice, "a"))
     kind = ["a", "c1", "c2"]
-    kinds = settled(shared.groupBy(*kind).agg(F.count("*").alias("k"), F.max("n").alias("n"), F.min(F.struct(*_TEXT, "start")).alias("row")))
-    whole = shared.join(kinds.filter("k > 1").select(*kind), kind).select(*_TEXT, F.col("start").alias("lo"), F.expr("start + n - 1").alias("hi"))
+    kinds = settled(shared.groupBy(*kind).agg(F.sum(F.size("starts")).alias("k"), F.max("n").alias("n"), F.min(F.struct(*_TEXT, F.col("starts")[0].alias("start"))).alias("row")))
+    whole = shared.join(kinds.filter("k > 1").select(*kind), kind).select(*_TEXT, "n", F.explode("starts").alias("lo")).select(*_TEXT, "lo", F.expr("lo + n - 1").alias("hi"))
     several = kinds.groupBy("a").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     runs = kinds.join(several, "a").select("row.*", "a", "n", F.expr("k > 1").alias("multi"), F.expr(f"kinds > {bucket}").alias("large"))
     some_large = not several.filter(F.col("kinds") > bucket).isEmpty()
