@@ -13,7 +13,11 @@ name is found when a sensitive name is assigned from it.
 
 Edge cases: null text is empty; a text without finds gives zeros, the hash of the empty string and an
 empty span list; repeated rows are scanned each on its own; an empty table gives no rows; only
-the id and text columns are read. Lexing is linear in the text's length, also on one very long line.
+the id and text columns are read.
+
+Lexing takes time in proportion to the text, also on one very long line: a name is tried once, an unquoted
+run is read once however many signs it holds, and values aren't joined: a value is a node that
+points to a literal of the text and to the nodes of its other parts, which later values share.
 """
 
 from __future__ import annotations
@@ -41,8 +45,8 @@ WEAK = frozenset("key auth pass pin salt signature cert".split())
 QUALIFIERS = frozenset("api private access secret encryption signing auth client master service account ssh db database".split())
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|change.?me|example|placeholder|your[_-].*|none|null|true|false|todo|test|dummy|<.*>|\$\{.*\})$")
 
-_NAME = r"[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*"
-_LEFT = re.compile(rf"""(?:"({_NAME})"|'({_NAME})'|({_NAME}))[ \t]*(?::=|=>|=(?![=~])|:(?!:|//))[ \t]*""", re.A)
+_NAME = r"[A-Za-z_$][\w$]*+(?:[.\-][A-Za-z_$][\w$]*+)*+"
+_LEFT = re.compile(rf"""(?:"({_NAME})"|'({_NAME})'|(?<![\w$])(?<![\w$][.\-])({_NAME}))[ \t]*+(?::=|=>|=(?![=~])|:(?!:|//))[ \t]*""", re.A)
 _TYPE = r"""(?:[&*]|\[\]|'\w{1,20}[ \t]+|mut[ \t]+){0,4}[A-Za-z_$][\w$]{0,60}(?:(?:\.|::)[A-Za-z_$][\w$]{0,60}){0,6}(?:[<\[][^="'\n]{0,60}[>\]])?(?:\[\])?(?:[?!](?!=))?"""
 #: A name with its type before the sign, or a quoted subscript.
 _DECLARED = re.compile(
@@ -50,7 +54,7 @@ _DECLARED = re.compile(
     rf"""|\[[ \t]*(?:"({_NAME})"|'({_NAME})')[ \t]*\][ \t]*(?::=|=>|=(?![=~])|:(?!:|//))[ \t]*""",
     re.A,
 )
-_SUBSCRIPT = 4
+_SUBSCRIPT, _SHORT = 4, 256
 _TYPE_WORDS = frozenset("str string bytes char any".split())
 _QUOTED = re.compile(r"""[bruf]{0,2}(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)""")
 _RAW = re.compile(r"""[^\s"'`;,(){}\[\]#]+""")
@@ -73,102 +77,173 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """0 to 1: entropy, mixed characters and length."""
-    if len(value) < 6 or PLACEHOLDER.match(value):
+    return _score(Counter(value), value)
+
+
+def _score(count: dict[str, float], short: str | None) -> float:
+    """``literal_score`` from the numbers of characters; ``short`` is the value itself if it is short."""
+    n = sum(count.values())
+    if n < 6 or short is not None and PLACEHOLDER.match(short):
         return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    mixed = bool(re.search("[0-9]", value)) and bool(re.search("[A-Za-z]", value))
+    entropy = -sum(c / n * math.log2(c / n) for c in count.values())
+    mixed = any("0" <= c <= "9" for c in count) and any("a" <= c <= "z" or "A" <= c <= "Z" for c in count)
     return 0.5 * min(1, entropy / 3.5) + 0.3 * mixed + 0.2 * min(1, n / 16)
 
 
-def _value(line: str, at: int, known: _Shifted) -> tuple[str, list[tuple[int, int]], int] | None:
-    """The constant value at ``at``: literals and known names joined by plus signs, as (text, literal spans, end)."""
-    text, spans = [], []
-    while True:
-        if m := _QUOTED.match(line, at):
-            g = m.lastindex
-            text.append(m[g])
-            spans.append(m.span(g))
-        elif m := _RAW.match(line, at):
-            if m[0] in known:
-                constant, own = known[m[0]]
-                text.append(constant)
-                spans += own
-            elif m.end() < len(line) and line[m.end()] == "(":
-                return None
+class _Node:
+    """A constant value: a literal of the text or another constant, and the rest after a plus sign. ``end`` is its last place in the line."""
+
+    __slots__ = ("a", "b", "best", "constant", "count", "end", "needed", "order", "rest", "short")
+
+    def __init__(self, order: int, a: int, b: int, constant: _Node | None, rest: _Node | None, end: int):
+        self.order, self.a, self.b, self.constant, self.rest, self.end = order, a, b, constant, rest, end
+        self.best, self.needed, self.count, self.short = ("", 0.0), False, None, None
+
+    def parts(self) -> list[_Node]:
+        return [x for x in (self.constant, self.rest) if x]
+
+
+class _Lexer:
+    """The assignments of one text."""
+
+    def __init__(self, text: str):
+        self.text, self.nodes, self.found = text, [], []
+        self.known: dict[str, _Node] = {}
+        self.lengths: set[int] = set()  # of known names
+        self.at_place: dict[int, _Node | None] = {}  # values of this line by their first place
+        self.raw = (0, 0)
+
+    def raw_end(self, at: int, end: int) -> int:
+        """End of the unquoted run at that place, ``at`` if there is none."""
+        if not self.raw[0] <= at < self.raw[1]:
+            m = _RAW.match(self.text, at, end)
+            self.raw = m.span() if m else (at, at)
+        return self.raw[1]
+
+    def constant(self, a: int, b: int) -> _Node | None:
+        return self.known.get(self.text[a:b]) if b - a in self.lengths else None
+
+    def value(self, at: int, end: int) -> _Node | None:
+        """The constant value at that place: literals and known names joined by plus signs."""
+        chain, last = [], None
+        while at not in self.at_place:
+            if m := _QUOTED.match(self.text, at, end):
+                part, stop = (*m.span(m.lastindex), None), m.end()
             else:
-                text.append(m[0])
-                spans.append(m.span())
+                stop = self.raw_end(at, end)
+                constant = self.constant(at, stop)
+                if stop == at or not constant and self.text[stop : stop + 1] == "(" and stop < end:
+                    self.at_place[at] = None
+                    break
+                part = (at, stop, constant)
+            chain.append((at, part, stop))
+            more = _PLUS.match(self.text, stop, end)
+            if not more:
+                break
+            at = more.end()
         else:
+            last = self.at_place[at]
+        if at in self.at_place and not last:  # a call or nothing behind the sign: no constant
+            for place, _, _ in chain:
+                self.at_place[place] = None
             return None
-        more = _PLUS.match(line, m.end())
-        if not more:
-            return "".join(text), spans, m.end()
-        at = more.end()
-
-
-def assignments(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
-    """(name, value, spans of its source literals) in order, with constants propagated."""
-    found, known, line_end = [], {}, -1
-    for sign in _SIGN.finditer(text):
-        if sign.start() < line_end:
-            continue
-        start = text.rfind("\n", 0, sign.start()) + 1
-        line_end = text.find("\n", sign.start())
-        line_end = len(text) if line_end < 0 else line_end
-        line, at = text[start:line_end], 0
-        declared, typed = _DECLARED.finditer(line), -1
+        for place, (a, b, constant), stop in reversed(chain):
+            last = _Node(len(self.nodes), a, b, constant, last, last.end if last else stop)
+            self.nodes.append(last)
+            self.at_place[place] = last
+        return last
+
+    def assign(self, name: str, value: _Node, keep: bool) -> None:
+        self.found.append((name, value))
+        if keep:
+            self.known[name] = value
+            self.lengths.add(len(name))
+
+    def line(self, start: int, end: int) -> None:
+        text, at, typed = self.text, start, -1
+        self.at_place.clear()
+        declared = _DECLARED.finditer(text, start, end)
         d = next(declared, None)
-        while (m := _LEFT.search(line, at)) or d:
+        while (m := _LEFT.search(text, at, end)) or d:
             while d and (not m or d.start() <= m.start()):
-                subscript, raw = d.lastindex >= _SUBSCRIPT, _RAW.match(line, d.end())
+                subscript = d.lastindex >= _SUBSCRIPT
                 # a bare word after a type may be the rest of a plain value (a: b=c), so only literals and constants count
-                if d.start() >= at and (subscript or _QUOTED.match(line, d.end()) or raw and raw[0] in known):
-                    if value := _value(line, d.end(), _Shifted(known, start)):
-                        name, spans = d[d.lastindex], [(a + start, b + start) for a, b in value[1]]
-                        found.append((name, value[0], spans))
-                        if not subscript:
-                            known[name], typed = (value[0], spans), d.end()
+                if d.start() >= at and (subscript or _QUOTED.match(text, d.end(), end) or self.constant(d.end(), self.raw_end(d.end(), end))):
+                    if value := self.value(d.end(), end):
+                        self.assign(d[d.lastindex], value, not subscript)
+                        typed = typed if subscript else d.end()
                 d = next(declared, None)
             if not m:
                 break
             at = m.end()
             if at < typed:  # the type isn't the value
                 continue
-            if value := _value(line, at, _Shifted(known, start)):
-                name, spans = m[m.lastindex], [(a + start, b + start) for a, b in value[1]]
-                if at != typed or name not in _TYPE_WORDS:
-                    known[name] = (value[0], spans)
-                found.append((name, value[0], spans))
-                at = max(at, value[2]) if line[at : at + 1] in "\"'`" else at
-    return found
-
-
-class _Shifted:
-    """A view of the known constants with spans relative to the line."""
-
-    def __init__(self, known: dict, start: int):
-        self.known, self.start = known, start
-
-    def __contains__(self, name: str) -> bool:
-        return name in self.known
-
-    def __getitem__(self, name: str):
-        value, spans = self.known[name]
-        return value, [(a - self.start, b - self.start) for a, b in spans]
+            if value := self.value(at, end):
+                name = m[m.lastindex]
+                self.assign(name, value, at != typed or name not in _TYPE_WORDS)
+                at = max(at, value.end) if text[at : at + 1] in "\"'`" else at
+
+    def run(self) -> _Lexer:
+        line_end = -1
+        for sign in _SIGN.finditer(self.text):
+            if sign.start() >= line_end:
+                start = self.text.rfind("\n", 0, sign.start()) + 1
+                line_end = self.text.find("\n", sign.start())
+                line_end = len(self.text) if line_end < 0 else line_end
+                self.line(start, line_end)
+        return self
+
+    def summarise(self, wanted: list[_Node]) -> None:
+        """Gives the wanted nodes and their parts the numbers of their characters."""
+        for x in wanted:
+            x.needed = True
+        for x in reversed(self.nodes):
+            if x.needed:
+                for y in x.parts():
+                    y.needed = True
+        own: dict[int, list[_Node]] = {}
+        for x in self.nodes:
+            if x.needed and not x.constant:
+                own.setdefault(x.b, []).append(x)
+        for same_end in own.values():  # literals of one end are suffixes of one run
+            count, lo = Counter(), same_end[0].b
+            for x in sorted(same_end, key=lambda x: -x.a):
+                count.update(self.text[x.a : lo])
+                lo = x.a
+                x.count, x.short = dict(count), self.text[x.a : x.b] if x.b - x.a <= _SHORT else None
+        for x in self.nodes:
+            if x.needed:
+                if x.constant:
+                    x.count, x.short = x.constant.count, x.constant.short
+                if x.rest:
+                    x.count = Counter(x.count)
+                    x.count.update(x.rest.count)
+                    x.short = x.short + x.rest.short if x.short is not None and x.rest.short is not None and len(x.short) + len(x.rest.short) <= _SHORT else None
+                    if sum(x.count.values()) > 1e12:  # only shares matter then
+                        x.count = {c: n * 1e-6 for c, n in x.count.items()}
 
 
 def scan_text(text: str) -> tuple[list[tuple[int, int, str, int]], list[tuple[int, int, str, int, str, float]]]:
     """Base spans and scored literals, each (start, rank of kind, kind, end, ...)."""
     base = [(m.start(), rank, kind, m.end()) for rank, (kind, pattern, least) in enumerate(BASE) for m in pattern.finditer(text) if len(m[1]) >= least]
+    lexed = _Lexer(text).run()
+    targets = [(name, value, sensitive) for name, value in lexed.found if (sensitive := name_score(name))]
+    if not targets:
+        return sorted(base), []
+    lexed.summarise([value for _, value, _ in targets])
+    for name, value, sensitive in targets:
+        found = _score(value.count, value.short)
+        score = 0.6 * sensitive + 0.4 * found if found else 0.0
+        if score >= THRESHOLD and score > value.best[1]:
+            value.best = (name, score)
     scored: dict[tuple[int, int], tuple[str, float]] = {}
-    for name, value, spans in assignments(text):
-        if sensitive := name_score(name):
-            score = 0.6 * sensitive + 0.4 * literal_score(value) if literal_score(value) else 0.0
-            if score >= THRESHOLD:
-                for span in spans:
-                    if span[1] > span[0] and score > scored.get(span, ("", 0.0))[1]:
-                        scored[span] = (name, score)
+    for x in reversed(lexed.nodes):  # a part is older than the values that hold it
+        if x.best[1]:
+            for y in x.parts():
+                if x.best[1] > y.best[1]:
+                    y.best = x.best
+            if not x.constant and x.b > x.a and x.best[1] > scored.get((x.a, x.b), ("", 0.0))[1]:
+                scored[x.a, x.b] = x.best
     return sorted(base), sorted((a, len(BASE), "literal", b, name, score) for (a, b), (name, score) in scored.items())
 
 
