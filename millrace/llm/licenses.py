@@ -36,6 +36,8 @@ from millrace.llm.common import let, settled, table
 
 LEAST_COSINE, FILE_SHARE, MOST_TEMPLATES = 0.6, 0.4, 10_000
 FULL_COSINE = 0.75
+#: A unit's 128-bit hash stands for its text wherever only equality counts.
+UNIT = ["u1", "u2"]
 
 #: Short public notices by which the licences are named in headers.
 TEMPLATES = (
@@ -66,23 +68,22 @@ def _vectors(units: DataFrame, key: str) -> DataFrame:
 
 
 def score_units(units: DataFrame, templates: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """(unit, license, cosine) of the best template of each distinct unit that reaches ``least``. ``units``: unit, n (its number)."""
+    """(u1, u2, license, cosine) of the best template of each distinct unit that reaches ``least``. ``units``: u1, u2 (its hash), unit, n (its number)."""
     pieces = settled(templates.select("license", F.explode(F.expr(_sentences("text"))).alias("unit")).withColumn("piece", F.monotonically_increasing_id()))
     if pieces.count() > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} template sentences; the template side is broadcast and must stay bounded")
     total = units.agg(F.sum("n")).first()[0] or 0
-    tf = units.select("unit", "n", _terms("unit").alias("term")).groupBy("unit", "n", "term").agg(F.count("*").alias("tf"))
+    tf = units.select(*UNIT, "n", _terms("unit").alias("term")).groupBy(*UNIT, "n", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.log((F.lit(1.0) + total) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0
-    weighted = tf.join(df, "term").select("unit", "term", (F.col("tf") * idf).alias("w"))
-    norms = weighted.groupBy("unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    weighted = tf.join(df, "term").select(*UNIT, "term", (F.col("tf") * idf).alias("w"))
+    norms = weighted.groupBy(*UNIT).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     own = _vectors(pieces, "piece").join(df, "term", "left").select("piece", "term", (F.col("tf") * idf).alias("tw"))
     own_norms = own.groupBy("piece").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tnorm")).join(pieces.select("piece", "license"), "piece")
-    dots = weighted.join(F.broadcast(own), "term").groupBy("unit", "piece").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))  # bounded by MOST_TEMPLATES
+    dots = weighted.join(F.broadcast(own), "term").groupBy(*UNIT, "piece").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))  # bounded by MOST_TEMPLATES
     cosine = F.round(F.col("dot") / (F.col("norm") * F.col("tnorm")), 6)
-    scored = dots.join(F.broadcast(own_norms), "piece").join(norms, "unit").select("unit", "license", cosine.alias("cosine")).filter(F.col("cosine") >= least)
-    best = scored.groupBy("unit").agg(F.max("cosine").alias("cosine"), F.collect_set(F.struct("cosine", "license")).alias("all"))  # per unit a row per template at most
-    return best.select("unit", F.array_min(F.transform(F.filter("all", lambda x: x.cosine == F.col("cosine")), lambda x: x.license)).alias("license"), "cosine")
+    scored = dots.join(F.broadcast(own_norms), "piece").join(norms, UNIT).select(*UNIT, "license", cosine.alias("cosine")).filter(F.col("cosine") >= least)
+    return scored.groupBy(*UNIT).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best")).select(*UNIT, "best.license", (-F.col("best.c")).alias("cosine"))
 
 
 def full_texts() -> dict[str, str]:
@@ -134,10 +135,10 @@ def scan(files: DataFrame, templates: DataFrame, doc_id: str = "doc_id", path: s
     """Per file: own_license, cosine, dir_license, license_dir (the ancestor) and license (own, else inherited)."""
     rows = files.select(F.col(doc_id).alias("doc_id"), directory(F.col(path)).alias("dir"), F.col(text).alias("t"))
     cued = rows.filter(F.col("t").rlike(CUE)).select("doc_id", "dir", F.expr(_sentences("t")).alias("s"))
-    parts = settled(cued.select("doc_id", "dir", F.size("s").alias("n_sentences"), F.explode("s").alias("unit")).filter(F.col("unit").rlike(CUE)))
-    units = settled(parts.groupBy("unit").agg(F.count("*").alias("n")))
+    parts = settled(cued.select("doc_id", "dir", F.size("s").alias("n_sentences"), F.explode("s").alias("unit")).filter(F.col("unit").rlike(CUE)).withColumns({"u1": F.xxhash64("unit"), "u2": F.xxhash64(F.lit(1), "unit")}))
+    units = settled(parts.groupBy(*UNIT).agg(F.first("unit").alias("unit"), F.count("*").alias("n")))
     matched = score_units(units, templates)
-    hits = parts.join(matched, "unit").groupBy("doc_id", "dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best"), F.count("*").alias("n_hits"), F.max("n_sentences").alias("n_sentences"))
+    hits = parts.drop("unit").join(matched, UNIT).groupBy("doc_id", "dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best"), F.count("*").alias("n_hits"), F.max("n_sentences").alias("n_sentences"))
     by_unit = hits.select("doc_id", "dir", F.struct(F.lit(1).alias("rank"), "best.c", "best.license").alias("b"), (F.col("n_hits") >= FILE_SHARE * F.col("n_sentences")).alias("is_file"))
     whole = whole_texts(rows, full_texts()).select("doc_id", "dir", F.struct(F.lit(0).alias("rank"), (-F.col("cosine")).alias("c"), "license").alias("b"), F.lit(True).alias("is_file"))
     own = settled(by_unit.union(whole).groupBy("doc_id", "dir").agg(F.min("b").alias("b"), F.max("is_file").alias("is_file")))

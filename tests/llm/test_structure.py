@@ -3,11 +3,13 @@ import itertools
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, jaccard, licenses, sharding, suffixes
 
@@ -285,3 +287,14 @@ def test_long_text_in_blocks(monkeypatch, spark, corpus):
     rows = [(1, text[:9000]), (2, text[3000:5000] + "x" + text[100:2500])]
     got = Counter(map(tuple, suffixes.digest(suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))).collect()))
     assert got == brute_repeats(rows)
+
+
+def test_license_in_a_long_line(spark, odd):
+    """A cued line of 1 MB costs seconds; the odd table is taken."""
+    line = "Licensed under the Apache License, Version 2.0 " + " ".join(f"w{i}" for i in range(150_000))
+    df = spark.createDataFrame([(1, "a/x", line), (2, "a/y", line + "z")], "doc_id long, path string, text string")
+    began = time.perf_counter()
+    assert [r.license for r in licenses.scan(df, licenses.default_templates(spark)).collect()] == [None, None]
+    assert time.perf_counter() - began < 60
+    rows = licenses.scan(odd.withColumn("path", F.concat_ws("/", "source", "lang", "kept")), licenses.default_templates(spark)).collect()
+    assert len(rows) == odd.count() and not any(r.license for r in rows)
