@@ -161,7 +161,8 @@ def test_decontamination_without_broadcast(monkeypatch, spark, corpus_df, corpus
     bench = spark.createDataFrame([(i, " ".join(t.split()[:30])) for i, t in corpus[:15] if len(t.split()) > 30], "item_id long, text string")
     key = lambda: Counter(map(tuple, decontaminate.matches(corpus_df, bench).select("doc_id", "item_id", "n_shared").collect()))
     first = key()
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    for limit in ("MAP_MINIMA", "BROADCAST_ROWS", "BROADCAST_BYTES"):
+        monkeypatch.setattr(decontaminate, limit, 0)
     assert key() == first and first
 
 
