@@ -41,7 +41,7 @@ class Rule:
 
 #: The verdict beyond the base rule. Ratios are per word or per line with a word.
 RULES = (
-    Rule("n_words", lowest=50, highest=1_000_000),
+    Rule("n_words", lowest=50),
     Rule("mean_word_length", lowest=2, highest=20),
     Rule("symbol_ratio", highest=0.10),
     Rule("stop_ratio", lowest=0.02),
@@ -85,7 +85,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "cast(size(_lines) - size(array_distinct(_lines)) as bigint) AS n_dup_lines",
         "cast(size(_lines) as bigint) AS n_lines",
         f"cast(CASE WHEN size(words) < 4 THEN 0 ELSE {_REPEATS} END as bigint) AS n_repeat_words",
-        f"cast(size(filter(words, w -> w IN ({stop}))) as bigint) AS n_stop_words",
+        f"cast(size(filter(words, w -> lower(w) IN ({stop}))) as bigint) AS n_stop_words",
         "monotonically_increasing_id() AS _row",
     )
     word, line = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
@@ -152,7 +152,7 @@ def _sql() -> str:
                  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
                  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines,
                  coalesce(n.n, 0)::BIGINT AS n_repeat_words,
-                 len(list_filter(words, lambda x: x IN ({stop}))) AS n_stop
+                 len(list_filter(words, lambda x: lower(x) IN ({stop}))) AS n_stop
           FROM w LEFT JOIN n USING (rid)),
     b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -1,9 +1,9 @@
 """Sharding by Hilbert-curve order: rows near in several metadata dimensions share a shard.
 
-1. Each dimension is quantised to ``BITS`` bits: numbers by their place between approximate
-   quantiles (so a skewed size fills the range evenly), names by hash.
-2. The Hilbert index of the quantised point orders the rows; equal points are ordered by a hash
-   of the row, so a hot point (a source with a third of all rows) still spreads over partitions.
+1. Each dimension is quantised to ``BITS`` bits, in its own order: numbers by their place between
+   approximate quantiles (so a skewed size fills the range evenly), names by their rank.
+2. The Hilbert index of the quantised point orders the rows; equal points are ordered by the text's
+   hash, then the id's, so a hot point (a source with a third of all rows) still spreads over partitions.
 3. The global order is cut into runs. Under the law ``rows`` the runs' counts differ by one at most.
 
 Each shard's files then hold short ranges in every dimension, so readers can prune on any of them.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import globally_ranked, settled, table
 
-BITS, SHARDS = 8, 24
+BITS, SHARDS, MOST_NAMES = 8, 24, 100_000
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -67,8 +67,16 @@ def by_quantile(df: DataFrame, name: str, bits: int = BITS) -> Column:
     return cell(F.col(name).cast("double"))
 
 
-def by_hash(name: str, bits: int = BITS) -> Column:
-    return F.pmod(F.xxhash64(name), F.lit(1 << bits))
+def by_order(df: DataFrame, name: str, cell: str, bits: int = BITS) -> DataFrame:
+    """``df`` with ``cell``: the place of a name among its sorted distinct values, spread over 2**bits cells; 0 for null.
+
+    Cells keep the order of the names, so that a shard's least and largest name bound a short range. The distinct
+    names are ranked as a table and joined back, by broadcast up to ``MOST_NAMES`` of them.
+    """
+    names = globally_ranked(df.select(F.col(name).alias("_name")).filter("_name IS NOT NULL").distinct(), "_name", name="_place", total="_names")
+    names = names.select("_name", F.expr(f"_place * {1 << bits}L div _names").alias(cell))
+    few = names.count() <= MOST_NAMES
+    return df.join(F.broadcast(names) if few else names, F.col(name) == F.col("_name"), "left").drop("_name").withColumn(cell, F.coalesce(cell, F.lit(0).cast("long")))
 
 
 def hilbert_order(df: DataFrame, dimensions: list[Column], *ties: Column, bits: int = BITS) -> DataFrame:
@@ -91,12 +99,13 @@ def cut_runs(ranked: DataFrame, total: int, shards: int) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
-    """doc_id, size, text_crc32, lang, source with shard and slot, ordered by size, source, language and id."""
+    """doc_id, size, text_crc32, lang, source with shard and slot, ordered by size, source and language; equal texts of one cell lie together."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "lang", "source")
-    rows = settled(rows)  # read again for the quantiles and the order; the texts are read once
-    dimensions = [by_quantile(rows, "size", bits), by_hash("source", bits), by_hash("lang", bits)]
-    ranked = hilbert_order(rows, dimensions, F.xxhash64("doc_id", "text_crc32"), bits=bits)
+    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "lang", "source", F.xxhash64(text).alias("_text"))
+    rows = settled(rows)  # read again for the cells and the order; the texts are read once
+    size = by_quantile(rows, "size", bits)
+    rows = by_order(by_order(rows, "source", "_source", bits), "lang", "_lang", bits)
+    ranked = hilbert_order(rows, [size, F.col("_source"), F.col("_lang")], F.col("_text"), F.xxhash64("doc_id"), bits=bits).drop("_source", "_lang", "_text")
     return cut_runs(ranked, ranked.count(), shards)
 
 

@@ -299,3 +299,16 @@ def test_license_in_a_long_line(spark, odd):
     assert time.perf_counter() - began < 60
     rows = licenses.scan(odd.withColumn("path", F.concat_ws("/", "source", "lang", "kept")), licenses.default_templates(spark)).collect()
     assert len(rows) == odd.count() and not any(r.license for r in rows)
+
+
+def test_shards_prune(spark):
+    """Shards span short ranges of every dimension, also of names, and equal texts of one source lie together."""
+    rng = random.Random(21)
+    rows = [(i, "t" * rng.randint(1, 4000), f"l{rng.randrange(8)}", f"s{rng.randrange(60):02d}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    ranges = sharding.shard_documents(df, 64).groupBy("shard").agg(F.min("source").alias("a"), F.max("source").alias("b"), F.min("size").alias("c"), F.max("size").alias("d"), F.min("lang").alias("e"), F.max("lang").alias("f")).collect()
+    for value, lo, hi in (("s17", "a", "b"), (1500, "c", "d"), ("l3", "e", "f")):
+        assert sum(r[lo] <= value <= r[hi] for r in ranges) <= 40
+    copies = spark.createDataFrame([(i, f"text {i % 10:03d}", "en", "one") for i in range(400)], "doc_id long, text string, lang string, source string")
+    order = [r.text_crc32 for r in sharding.shard_documents(copies, 4).orderBy("shard", "slot").collect()]
+    assert sum(a != b for a, b in itertools.pairwise(order)) == 9
