@@ -17,7 +17,7 @@ from millrace.operators.rows import as_stream, micros, payload
 from millrace.plans.batch import result, results
 from millrace.plans.stream import GraphBuilder, Stream
 from millrace.plans.window_spec import WindowSpec, count_tumbling_window, count_window, time_tumbling_window, time_window
-from millrace.sources.tables import events, from_records, table
+from millrace.sources.tables import events, from_records, generator_source, table
 from millrace.streaming.runner import EVENT_TIME, FAR_FUTURE, StreamEngine, compile_stream, stream_source
 
 HOUR = 3_600_000_000
@@ -168,6 +168,55 @@ def q_watermarks(spark, sf_dir):
     return watermark.emitted(as_stream(_disordered(spark, sf_dir), "tick", "arrival"), HOUR, 100).select(F.col("at").alias("n_rows"), "watermark")
 
 
+@query(f"""{_WM}, x AS (SELECT s.*, i, wm FROM s JOIN k ON s.i // 100 = k.b),
+    p AS (SELECT greatest(l.tick, r.tick) AS t, greatest(l.i, r.i) AS place, CASE WHEN l.wm IS NOT NULL AND r.wm IS NOT NULL THEN least(l.wm, r.wm) END AS wm
+          FROM x l JOIN x r ON l.user_id = r.user_id AND r.tick BETWEEN l.tick - {HOUR} AND l.tick + {6 * HOUR} WHERE l.event_type = 'click' AND r.event_type = 'purchase'),
+    h AS (SELECT wm AS head FROM p ORDER BY place, wm NULLS FIRST LIMIT 1),
+    w AS (SELECT t // {6 * HOUR} * {6 * HOUR} + {6 * HOUR} AS e, CASE WHEN head IS NULL OR wm > head THEN wm END AS wm FROM p, h)
+    SELECT greatest(e - {6 * HOUR}, 0)::BIGINT AS window_start, e::BIGINT AS window_end, count(*) AS n FROM w WHERE wm IS NULL OR e > wm GROUP BY e""")
+def q_join_watermark(spark, sf_dir):
+    """A window over a join: the least watermark of both inputs decides which pairs are late."""
+    b = GraphBuilder()
+    side = lambda kind: b.source(lambda: _disordered(spark, sf_dir), "tick", "arrival", name=kind).with_watermark(HOUR).filter(F.col("event_type") == kind)
+    user = F.col("user_id")
+    s = side("click").interval_join(side("purchase"), user, user, -HOUR, 6 * HOUR, user_id=F.col("l.user_id"))
+    return _rows(s.window(time_tumbling_window(6 * HOUR)).reduce(n=count_of()).sink())
+
+
+@query(f"""{_WM}, x AS (SELECT cents, wm, unnest(generate_series((tick // {2 * HOUR} + 1) * {2 * HOUR}, (tick + {6 * HOUR}) // {2 * HOUR} * {2 * HOUR}, {2 * HOUR})) AS e FROM s JOIN k ON s.i // 100 = k.b)
+    SELECT greatest(e - {6 * HOUR}, 0)::BIGINT AS window_start, e::BIGINT AS window_end, count(*) AS n, sum(cents)::BIGINT AS total FROM x WHERE wm IS NULL OR e > wm GROUP BY e""")
+def q_late_sliding(spark, sf_dir):
+    """Late rows in sliding windows, by slices per watermark."""
+    s = GraphBuilder().source(lambda: _disordered(spark, sf_dir), "tick", "arrival").with_watermark(HOUR)
+    return _rows(s.window(time_window(6 * HOUR, 2 * HOUR)).reduce(n=count_of(), total=sum_of("cents")).sink())
+
+
+def _updates_sql(every: int, last: str) -> str:
+    return f"""WITH {EV}, r AS (SELECT *, tick // {DAY} * {DAY} + {DAY} AS e FROM ev), f AS (SELECT *, (row_number() OVER (PARTITION BY e ORDER BY event_id) - 1) // {every} AS firing FROM r),
+    g AS (SELECT e, firing, count(*) AS n, sum(cents)::BIGINT AS total, max(cents) AS most FROM f GROUP BY e, firing),
+    c AS (SELECT greatest(e - {DAY}, 0)::BIGINT AS window_start, e::BIGINT AS window_end, firing::BIGINT AS firing, (sum(n) OVER w)::BIGINT AS n, (sum(total) OVER w)::BIGINT AS total, max(most) OVER w AS most FROM g WINDOW w AS (PARTITION BY e ORDER BY firing))
+    {last}"""
+
+
+@query(_updates_sql(50, "SELECT * FROM c"))
+def q_trigger_fire(spark, sf_dir):
+    """A count trigger that keeps the window's state: results so far after every 50 rows and at the end."""
+    return _rows(_events(spark, sf_dir).window(time_tumbling_window(DAY)).updates(50, n=count_of(), total=sum_of("cents"), most=max_of("cents")).sink())
+
+
+@query(_updates_sql(50, f"SELECT greatest(e - {DAY}, 0)::BIGINT AS window_start, e::BIGINT AS window_end, firing::BIGINT AS firing, n, total, most FROM g"))
+def q_trigger_purge(spark, sf_dir):
+    """A count trigger that clears the window's state when it fires."""
+    return _rows(_events(spark, sf_dir).window(time_tumbling_window(DAY)).updates(50, purge=True, n=count_of(), total=sum_of("cents"), most=max_of("cents")).sink())
+
+
+@query(_updates_sql(1, """SELECT *, 1 AS change FROM c UNION ALL SELECT * FROM (SELECT window_start, window_end, firing, lag(n) OVER w AS n, lag(total) OVER w AS total, lag(most) OVER w AS most, -1 AS change
+    FROM c WINDOW w AS (PARTITION BY window_end ORDER BY firing)) WHERE firing > 0"""))
+def q_emit_on_update(spark, sf_dir):
+    """Each row's window result at once, with the result that it replaces taken back."""
+    return _rows(_events(spark, sf_dir).window(time_tumbling_window(DAY)).updates(retract=True, n=count_of(), total=sum_of("cents"), most=max_of("cents")).sink())
+
+
 @query(f"""WITH {EV}, l AS (SELECT *, tick // {DAY} AS d FROM ev WHERE event_type = 'click'), r AS (SELECT *, tick // {DAY} AS d FROM ev WHERE event_type = 'purchase')
     SELECT l.user_id, l.event_id AS click_id, r.event_id AS purchase_id, ((l.d + 1) * {DAY})::BIGINT AS window_end FROM l JOIN r ON l.user_id = r.user_id AND l.d = r.d""")
 def q_window_join(spark, sf_dir):
@@ -254,11 +303,45 @@ def q_i32_ops(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", strict.divide(b, seven, "i32").alias("quotient"), strict.remainder(b, seven, "i32").alias("rest"), strict.bit_and(a.cast("int"), F.lit(255)).alias("masked"), strict.bit_xor(a.cast("int"), F.lit(85)).alias("mixed"), strict.truncate_to(a, "i8").alias("low"))
 
 
-@query(f"""WITH {EV} SELECT event_id, CASE WHEN cents % 3 = 0 THEN 'inf' ELSE 'finite' END AS kind FROM ev""")
+#: Quotients of whole numbers with zeros, as text where they aren't finite, else in millionths.
+_QUOTIENT = "(CASE WHEN b <> 0 THEN cast(floor(cast(a AS DOUBLE) / b * 1000000) AS BIGINT)::VARCHAR WHEN a = 0 THEN 'nan' WHEN a > 0 THEN 'inf' ELSE '-inf' END)"
+
+
+@query(f"WITH {EV}, x AS (SELECT event_id, cents % 5 - 2 AS a, cents % 3 AS b FROM ev) SELECT event_id, {_QUOTIENT} AS quotient, (a <> 0 OR b <> 0) AS same, b <> 0 AND a < b AS less FROM x")
 def q_float_ops(spark, sf_dir):
-    """Division by zero gives an infinity, not an error."""
-    d = strict.divide_float(F.col("cents") + 1, F.col("cents") % 3)
-    return events(spark, sf_dir).select("event_id", F.when(d == float("inf"), "inf").otherwise("finite").alias("kind"))
+    """Division by zero gives an infinity with its sign, or NaN, which equals nothing and is less than nothing."""
+    a, b = F.col("cents") % 5 - 2, F.col("cents") % 3
+    d = strict.divide_float(a, b)
+    shown = F.when(F.isnan(d), "nan").when(d == float("inf"), "inf").when(d == float("-inf"), "-inf").otherwise(F.floor(d * 1_000_000).cast("string"))
+    finite = F.when(b != 0, F.col("cents").cast("double")).otherwise(float("nan"))
+    less = strict.less_float(a.cast("double"), F.when(F.isnan(finite), finite).otherwise(b.cast("double")))
+    return events(spark, sf_dir).select("event_id", shown.alias("quotient"), strict.equal_float(d, d).alias("same"), less.alias("less"))
+
+
+@query(f"""WITH {EV} SELECT event_id, ((cents << 20) % 4294967296)::BIGINT AS moved_up, (cents >> 3)::BIGINT AS moved_down, ((2000 - cents) >> 2)::INT AS signed_down,
+    (cents | 1025)::INT AS joined, (cents - 4000)::INT AS negated, ((4294967296 - cents) % 4294967296)::BIGINT AS negated_u32 FROM ev""")
+def q_shift_ops(spark, sf_dir):
+    """Shifts of signed and unsigned integers, bitwise or and unary minus."""
+    a = F.col("cents")
+    negated = strict.negate(strict.subtract(F.lit(4000), a, "i32"), "i32")
+    signed = strict.shift_right(strict.subtract(F.lit(2000), a, "i32"), 2, "i32")
+    return events(spark, sf_dir).select(
+        "event_id", strict.shift_left(a, 20, "u32").cast("long").alias("moved_up"), strict.shift_right(a, 3, "u32").cast("long").alias("moved_down"), signed.alias("signed_down"),
+        strict.bit_or(a.cast("int"), F.lit(1025)).alias("joined"), negated.alias("negated"), strict.negate(a, "u32").cast("long").alias("negated_u32"),
+    )
+
+
+@query("SELECT window_index::BIGINT AS window_index, count(*) AS n, sum(i * i)::BIGINT AS total FROM (SELECT i, i // 7 AS window_index FROM range(100) t(i)) GROUP BY window_index")
+def q_generator(spark, sf_dir):
+    """A source that makes its rows where they are read."""
+    spark.dataSource.register(generator_source("millrace_squares", "i long, square long", _squares, 100))
+    s = GraphBuilder().source(lambda: spark.read.format("millrace_squares").load(), "i", "i").window(count_tumbling_window(7))
+    return _rows(s.reduce(n=count_of(), total=sum_of("square")).sink())
+
+
+def _squares(lo: int, hi: int):
+    for i in range(lo, hi):
+        yield i, i * i
 
 
 @query(_time_sql(DAY, DAY, "sum(cents)::BIGINT AS total, arg_max(event_id, tick) AS last_id"))
@@ -349,6 +432,29 @@ def q_stream_sliding(spark, sf_dir):
     return _streamed(spark, graph, {"events": _stream_events(spark, sf_dir, closing=True)})
 
 
+@query(SQL["q_session_window"])
+def q_stream_session(spark, sf_dir):
+    """Sessions on Structured Streaming."""
+    graph = GraphBuilder().source(lambda: None, "tick", "event_id", name="events").key_by("user_id").session(6 * HOUR, n=count_of(), total=sum_of("cents")).sink().build()
+    return _streamed(spark, graph, {"events": _stream_events(spark, sf_dir, closing=True)})
+
+
+@query(SQL["q_reduce_udf"])
+def q_stream_reduce_udf(spark, sf_dir):
+    """An opaque function of the rows of each closed window of a stream."""
+    func = lambda p: pd.DataFrame({"window_start": [p["tick"].iloc[0] // DAY * DAY], "total": [p["cents"].sum()], "last_id": [p["event_id"].iloc[-1]]})
+    graph = GraphBuilder().source(lambda: None, "tick", "event_id", name="events").window(time_tumbling_window(DAY)).reduce(func, "window_start long, total long, last_id long").sink().build()
+    return _streamed(spark, graph, {"events": _stream_events(spark, sf_dir, closing=True)})
+
+
+@query(f"""WITH {EV}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM ev)
+    SELECT user_id, ((rn - 1) // 10)::BIGINT AS window_index, count(*) AS n, sum(cents)::BIGINT AS total FROM r GROUP BY 1, 2 HAVING count(*) = 10""")
+def q_stream_count_window(spark, sf_dir):
+    """Count windows per key of a stream; a window that isn't full stays open."""
+    graph = GraphBuilder().source(lambda: None, "tick", "event_id", name="events").key_by("user_id").window(count_tumbling_window(10)).reduce(n=count_of(), total=sum_of("cents")).sink().build()
+    return _streamed(spark, graph, {"events": _stream_events(spark, sf_dir, closing=False)})
+
+
 @query(SQL["q_interval_join"])
 def q_stream_interval_join(spark, sf_dir):
     """Two streams joined in event time."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,10 @@ class Agg:
     def _value(self) -> Column:
         return F.col(self.column) if isinstance(self.column, str) else self.column
 
+    def names(self, name: str) -> list[str]:
+        """Columns for the partial results of the aggregate of that name."""
+        return [f"__{name}_{i}" for i in range(len(self.partials()))]
+
     def partials(self) -> list[Column]:
         v = self._value()
         return {"sum": [F.sum(v)], "count": [F.count(v)], "min": [F.min(v)], "max": [F.max(v)], "avg": [F.sum(v), F.count(v)]}[self.kind]
@@ -56,5 +60,17 @@ def avg_of(column: str | Column) -> Agg:
     return Agg("avg", column)
 
 
+def partial(groups: GroupedData, aggs: dict[str, Agg], *more: Column) -> DataFrame:
+    """Partial results per group."""
+    return groups.agg(*[c.alias(p) for n, a in aggs.items() for c, p in zip(a.partials(), a.names(n), strict=True)], *more)
+
+
+def merged(groups: GroupedData, aggs: dict[str, Agg], keys: list[str], *more: Column) -> DataFrame:
+    """Final results per group of partial ones."""
+    out = groups.agg(*[c.alias(p) for n, a in aggs.items() for c, p in zip(a.merged(a.names(n)), a.names(n), strict=True)], *more)
+    kept = [c for c in out.columns if c not in keys and not any(c in a.names(n) for n, a in aggs.items())]
+    return out.select(*keys, *[a.final(a.names(n)).alias(n) for n, a in aggs.items()], *kept)
+
+
 def as_column(a: Agg | Column) -> Column:
     return a.whole() if isinstance(a, Agg) else a

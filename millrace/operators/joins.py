@@ -1,7 +1,8 @@
 """Window and interval joins: inner, one result per matching pair.
 
 Expressions over a pair name its sides ``l.`` and ``r.``; event time of the result is ``ts``, by default
-the later of the two.
+the later of the two. A pair carries the least of both watermarks, so windows over a join know late pairs
+once both inputs have a watermark.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.rows import SEQ, TS, WM
+from millrace.operators.watermark import least_watermark
 from millrace.operators.windows import END, assign_time
 from millrace.plans.window_spec import WindowSpec
 
@@ -17,7 +19,7 @@ from millrace.plans.window_spec import WindowSpec
 def _result(pairs: DataFrame, columns: dict[str, Column], ts: Column | None) -> DataFrame:
     at = ts.cast("long") if ts is not None else F.greatest(F.col(f"l.{TS}"), F.col(f"r.{TS}"))
     seq = F.greatest(F.col(f"l.{SEQ}"), F.col(f"r.{SEQ}"))
-    return pairs.select(*[c.alias(n) for n, c in columns.items()], at.alias(TS), seq.alias(SEQ), F.lit(None).cast("long").alias(WM))
+    return pairs.select(*[c.alias(n) for n, c in columns.items()], at.alias(TS), seq.alias(SEQ), least_watermark(F.col(f"l.{WM}"), F.col(f"r.{WM}")).alias(WM))
 
 
 def window_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, spec: WindowSpec, columns: dict[str, Column], ts: Column | None = None, late: bool = False) -> DataFrame:

@@ -42,10 +42,8 @@ def emitted(df: DataFrame, lateness: int = 0, interval: int = 100) -> DataFrame:
 
 def in_force(df: DataFrame) -> Column:
     """The watermark that a window meets at a row: those before the first row that reaches the window don't count."""
-    head = df.agg(F.min_by(WM, SEQ).alias("w"), F.count(WM).alias("n")).first()
-    if not head.n:
-        return F.lit(None).cast("long")
-    return F.col(WM) if head.w is None else F.when(F.col(WM) > head.w, F.col(WM))
+    head = df.agg(F.min(F.struct(SEQ, WM)).getField(WM)).scalar()  # a scalar subquery: nothing runs while the plan is made
+    return F.when(head.isNull() | (F.col(WM) > head), F.col(WM))
 
 
 def least_watermark(*watermarks: Column) -> Column:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.aggregates import Agg, as_column
+from millrace.operators.aggregates import Agg, as_column, merged, partial
 from millrace.operators.ordering import ranked
 from millrace.operators.rows import SEQ, TS, WM
 from millrace.operators.watermark import in_force
@@ -54,39 +54,60 @@ def time_aggregate(df: DataFrame, spec: WindowSpec, aggs: dict[str, Agg | Column
     """One row per window (and key) with ``aggs``; the result's event time is the window's end.
 
     Overlapping windows over mergeable aggregates share slices: rows are first aggregated by slices of
-    gcd(size, advance) ticks, and only the slices are copied into their windows.
+    gcd(size, advance) ticks, and only the slices are copied into their windows. Where rows can be late, a
+    slice is one per watermark in force, and windows that had fired by then are left out.
     """
     keys, names = list(keys), list(aggs)
-    if late or spec.advance >= spec.size or not all(isinstance(a, Agg) for a in aggs.values()):
+    if spec.advance >= spec.size or not all(isinstance(a, Agg) for a in aggs.values()):
         out = assign_time(df, spec, late).groupBy(*keys, END).agg(*[as_column(a).alias(n) for n, a in aggs.items()])
         return _finish(out, keys, names, spec)
     width = math.gcd(spec.size, spec.advance)
-    parts = {n: [f"__{n}_{i}" for i in range(len(a.partials()))] for n, a in aggs.items()}
-    slices = df.groupBy(*keys, (F.floor(F.col(TS) / width) * width).alias("__slice")).agg(*[c.alias(p) for n, a in aggs.items() for c, p in zip(a.partials(), parts[n], strict=True)])
-    windows = slices.withColumn(END, F.explode(_ends(F.col("__slice"), spec))).groupBy(*keys, END)
-    merged = windows.agg(*[c.alias(p) for n, a in aggs.items() for c, p in zip(a.merged(parts[n]), parts[n], strict=True)])
-    return _finish(merged.select(*keys, END, *[a.final(parts[n]).alias(n) for n, a in aggs.items()]), keys, names, spec)
+    rows = df.withColumn("__met", in_force(df)) if late else df
+    slices = partial(rows.groupBy(*keys, (F.floor(F.col(TS) / width) * width).alias("__slice"), *(["__met"] if late else [])), aggs)
+    windows = slices.withColumn(END, F.explode(_ends(F.col("__slice"), spec)))
+    if late:
+        windows = windows.filter(F.col("__met").isNull() | (F.col(END) > F.col("__met")))
+    return _finish(merged(windows.groupBy(*keys, END), aggs, [*keys, END]), keys, names, spec)
 
 
-def assign_count(df: DataFrame, spec: WindowSpec, keys: list[str] = ()) -> DataFrame:
-    """``df`` once per count window that holds the row, with ``window_index`` from 0 on (per key)."""
-    size, step = spec.size, min(spec.advance, spec.size)
+def _numbered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with ``__rn``, the place in arrival order from 1 on (per key), and ``__all``, the number of rows."""
     if keys:
         place = Window.partitionBy(*keys)
-        rows = df.withColumn("__rn", F.row_number().over(place.orderBy(SEQ)).cast("long")).withColumn("__all", F.count("*").over(place))
-    else:
-        rows = ranked(df, SEQ, name="__rn", total="__all").withColumn("__rn", F.col("__rn") + 1)
+        return df.withColumn("__rn", F.row_number().over(place.orderBy(SEQ)).cast("long")).withColumn("__all", F.count("*").over(place))
+    return ranked(df, SEQ, name="__rn", total="__all").withColumn("__rn", F.col("__rn") + 1)
+
+
+def _indexes(place: Column, spec: WindowSpec) -> Column:
+    """The count windows that hold the row at that place."""
+    size, step = spec.size, min(spec.advance, spec.size)
     div = lambda a, b: F.floor(a / b)
     full = F.when(F.col("__all") >= size, div(F.col("__all") - size, step) + 1).otherwise(0)
-    lo = F.greatest(F.lit(0).cast("long"), div(F.col("__rn") - size + step - 1, step))
-    hi = F.least(full, div(F.col("__rn") - 1, step))
-    spans = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
-    return rows.withColumn(INDEX, F.explode(spans)).drop("__rn", "__all")
+    lo = F.greatest(F.lit(0).cast("long"), div(place - size + step - 1, step))
+    hi = F.least(full, div(place - 1, step))
+    return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+
+
+def assign_count(df: DataFrame, spec: WindowSpec, keys: list[str] = ()) -> DataFrame:
+    """``df`` once per count window that holds the row, with ``window_index`` from 0 on (per key)."""
+    return _numbered(df, list(keys)).withColumn(INDEX, F.explode(_indexes(F.col("__rn"), spec))).drop("__rn", "__all")
+
+
+def _count_slices(df: DataFrame, spec: WindowSpec, aggs: dict[str, Agg], keys: list[str]) -> DataFrame:
+    width = math.gcd(spec.size, spec.advance)
+    rows = _numbered(df, keys).withColumn("__slice", F.expr(f"(__rn - 1) div {width}"))
+    last = F.max(F.struct(SEQ, TS)).alias("__last")
+    slices = partial(rows.groupBy(*keys, "__slice", "__all"), aggs, last)
+    spread = slices.withColumn(INDEX, F.explode(_indexes(F.col("__slice") * width + 1, spec)))
+    out = merged(spread.groupBy(*keys, INDEX), aggs, [*keys, INDEX], F.max("__last").alias("__last"))
+    return out.select(*keys, INDEX, *aggs, F.col(f"__last.{TS}").alias(TS), F.col(f"__last.{SEQ}").alias(SEQ), F.lit(None).cast("long").alias(WM))
 
 
 def count_aggregate(df: DataFrame, spec: WindowSpec, aggs: dict[str, Agg | Column], keys: list[str] = ()) -> DataFrame:
-    """One row per count window; its event time is that of its last row."""
+    """One row per count window; its event time is that of its last row. Overlapping windows over mergeable aggregates share slices of gcd(size, advance) rows."""
     keys = list(keys)
+    if spec.advance < spec.size and all(isinstance(a, Agg) for a in aggs.values()):
+        return _count_slices(df, spec, aggs, keys)
     out = assign_count(df, spec, keys).groupBy(*keys, INDEX).agg(*[as_column(a).alias(n) for n, a in aggs.items()], F.max_by(TS, SEQ).alias(TS), F.max(SEQ).alias(SEQ))
     return out.select(*keys, INDEX, *aggs, TS, SEQ, F.lit(None).cast("long").alias(WM))
 
@@ -127,3 +148,27 @@ def rolling(df: DataFrame, aggs: dict[str, Agg | Column], keys: list[str]) -> Da
     """The running aggregate per key after each row, in arrival order. (An extension.)"""
     place = Window.partitionBy(*keys).orderBy(SEQ).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumns({n: as_column(a).over(place) for n, a in aggs.items()})
+
+
+def triggered(df: DataFrame, spec: WindowSpec, aggs: dict[str, Agg], keys: list[str], every: int, purge: bool, retract: bool, late: bool = False) -> DataFrame:
+    """A time window's results as they are updated: after every ``every`` of its rows in arrival order, and at its end for the rest.
+
+    A firing keeps the window's state (each result covers all rows so far) or, with ``purge``, clears it (each covers the rows
+    since the last). ``firing`` counts from 0; ``every=1`` emits on each update. With ``retract`` each result that replaces
+    another comes with that one again, ``change`` -1 instead of 1. Rows are aggregated to firings first; only these are run through in order.
+    """
+    place = Window.partitionBy(*keys, END).orderBy(SEQ)
+    rows = assign_time(df, spec, late).withColumn("firing", F.floor((F.row_number().over(place) - 1) / every).cast("long"))
+    parts = partial(rows.groupBy(*keys, END, "firing"), aggs, F.max(SEQ).alias(SEQ))
+    if not purge:
+        so_far = Window.partitionBy(*keys, END).orderBy("firing").rowsBetween(Window.unboundedPreceding, 0)
+        parts = parts.withColumns({p: c.over(so_far) for n, a in aggs.items() for p, c in zip(a.names(n), a.merged(a.names(n)), strict=True)})
+    names = list(aggs)
+    out = parts.select(*keys, END, "firing", SEQ, *[a.final(a.names(n)).alias(n) for n, a in aggs.items()])
+    if retract:
+        step = Window.partitionBy(*keys, END).orderBy("firing")
+        before = out.select(*keys, END, "firing", SEQ, *[F.lag(n).over(step).alias(n) for n in names]).filter("firing > 0")
+        out = out.withColumn("change", F.lit(1)).unionByName(before.withColumn("change", F.lit(-1)))
+        names = [*names, "change"]
+    start = F.greatest(F.col(END) - spec.size, F.lit(0).cast("long")).alias("window_start")
+    return out.select(*keys, start, END, "firing", *names, F.col(END).alias(TS), SEQ, F.lit(None).cast("long").alias(WM))

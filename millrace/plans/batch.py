@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import threading
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from millrace.plans.graph import DataflowGraph
 
@@ -38,13 +39,16 @@ class BatchEngine:
         if slots < 1:
             raise ValueError("slots must be positive")
         self.slots, self._graphs, self._stop = slots, [], threading.Event()
+        self._tag, self._spark = f"millrace-{uuid.uuid4().hex}", None
 
     def submit(self, graph: DataflowGraph) -> None:
         self._graphs.append(graph)
 
     def cancel(self) -> None:
-        """Graphs that haven't begun don't run."""
+        """Stops the graphs that run and lets none begin."""
         self._stop.set()
+        if self._spark is not None:
+            self._spark.sparkContext.cancelJobsWithTag(self._tag)
 
     def execute(self) -> int:
         """Calls every sink's function with its rows; the number of graphs that ran."""
@@ -55,7 +59,11 @@ class BatchEngine:
                 if self._stop.is_set() or errors:
                     return
                 try:
+                    if self._spark is not None:
+                        self._spark.sparkContext.addJobTag(self._tag)
                     for i, df in results(graph).items():
+                        if self._stop.is_set():
+                            return
                         func = graph.op(i).params.get("func")
                         if func:
                             func(df)
@@ -63,8 +71,10 @@ class BatchEngine:
                             df.write.format("noop").mode("overwrite").save()
                     ran.append(graph)
                 except Exception as e:
-                    errors.append(e)
+                    if not self._stop.is_set():  # what a cancelled graph throws is no failure
+                        errors.append(e)
 
+        self._spark = SparkSession.getActiveSession()
         threads = [threading.Thread(target=work, args=(g,)) for g in self._graphs]
         for t in threads:
             t.start()

@@ -86,7 +86,7 @@ class Stream:
         return WindowedStream(self, spec)
 
     def session(self, gap: int, **aggs: Agg | Column) -> Stream:
-        return self._next("session", "Window", lambda df: windows.session_aggregate(df, gap, aggs, list(self.keys)), "Keyed", gap=gap)
+        return self._next("session", "Window", lambda df: windows.session_aggregate(df, gap, aggs, list(self.keys)), "Keyed", gap=gap, aggs=aggs, keys=list(self.keys))
 
     def rolling(self, **aggs: Agg | Column) -> Stream:
         return self._next("rolling", "Map", lambda df: windows.rolling(df, aggs, list(self.keys)), "Keyed")
@@ -108,11 +108,11 @@ class Stream:
         return self._next(name, "Sink", lambda df: df, func=func)
 
     def _late(self) -> bool:
-        """Whether a source upstream has a watermark and no window lies between (windows pass none on)."""
+        """Whether a source upstream has a watermark and no window lies between (windows pass none on; joins pass the least)."""
         node = self.builder._nodes[self.id - 1]
         if node.kind == "Source":
             return "lateness" in node.params
-        if node.is_window:
+        if node.kind == "Window":
             return False
         return any(Stream(self.builder, e.source)._late() for e in self.builder._edges if e.target == self.id)
 
@@ -136,3 +136,11 @@ class WindowedStream:
         return s._next("window", "Window", lambda df: windows.count_aggregate(df, spec, aggs, keys), partition, spec=spec, aggs=aggs, keys=keys)
 
     aggregate = reduce
+
+    def updates(self, every: int = 1, purge: bool = False, retract: bool = False, **aggs: Agg) -> Stream:
+        """A time window's results after every ``every`` rows and at its end (a count trigger): FIRE, or FIRE_AND_PURGE with ``purge``; ``every=1`` emits on update."""
+        s, spec = self.stream, self.spec
+        if spec.kind != "time" or every < 1 or purge and retract or not all(isinstance(a, Agg) for a in aggs.values()):
+            raise ValueError("updates take a time window, every >= 1, mergeable aggregates and not both purge and retract")
+        keys, late = list(s.keys), s._late()
+        return s._next("updates", "Window", lambda df: windows.triggered(df, spec, aggs, keys, every, purge, retract, late), "Keyed" if keys else "Forward", updates=every)

@@ -54,6 +54,13 @@ def time_aggregate(df: DataFrame, spec: WindowSpec, aggs: dict, keys: list[str]
     return out.select(*keys, start, end.alias("window_end"), *aggs, end.alias(TS), end.alias(SEQ), F.lit(None).cast("long").alias(WM), F.window_time("w").alias(EVENT_TIME))
 
 
+def session_aggregate(df: DataFrame, gap: int, aggs: dict, keys: list[str] = ()) -> DataFrame:
+    """Sessions on the state store, merged as rows fill their gaps; emitted when the watermark passes their end."""
+    out = df.groupBy(*keys, F.session_window(EVENT_TIME, f"{gap} microseconds").alias("w")).agg(*[as_column(a).alias(n) for n, a in aggs.items()])
+    end = F.unix_micros(F.col("w.end"))
+    return out.select(*keys, F.unix_micros(F.col("w.start")).alias("window_start"), end.alias("window_end"), *aggs, end.alias(TS), end.alias(SEQ), F.lit(None).cast("long").alias(WM), F.expr("w.end - INTERVAL '0.000001' SECOND").alias(EVENT_TIME))
+
+
 def count_windows(df: DataFrame, spec: WindowSpec, func: Callable[[pd.DataFrame], pd.DataFrame], schema: str, keys: list[str] = ()) -> DataFrame:
     """``func`` of each full window's rows in arrival order. The state is the open rows (fewer than ``size``) and the windows so far."""
     step, names = min(spec.advance, spec.size), [c for c in df.columns if c != EVENT_TIME]
@@ -118,8 +125,10 @@ def _over_rows(aggs: dict) -> tuple[Callable[[pd.DataFrame], pd.DataFrame], str]
 
 def _window_node(df: DataFrame, p: dict) -> DataFrame:
     spec = p.get("spec")
+    if "updates" in p:
+        raise ValueError("updates run bounded only; a streaming sink in update mode emits each changed window")
     if spec is None:
-        raise ValueError("sessions run bounded only")
+        return session_aggregate(df, p["gap"], p["aggs"], p["keys"])
     if spec.kind == "time":
         return time_aggregate(df, spec, p["aggs"], p["keys"]) if "aggs" in p else time_apply(df, spec, p["func"], p["schema"], p["keys"])
     func, schema = _over_rows(p["aggs"]) if "aggs" in p else (p["func"], p["schema"])
@@ -169,19 +178,22 @@ class StreamEngine:
 
     def __init__(self, spark: SparkSession, checkpoint: str):
         self.spark, self.checkpoint = spark, checkpoint
-        self._plans: list[tuple[str, DataFrame, Callable[[DataFrame, int], None]]] = []
+        self._plans: list[tuple[str, DataFrame, Callable[[DataFrame, int], None], str]] = []
         self._running: list[StreamingQuery] = []
         self._lock = threading.Lock()
 
-    def submit(self, name: str, df: DataFrame, sink: Callable[[DataFrame, int], None]) -> None:
-        """``sink(batch, batch_id)`` gets each micro-batch; batches repeat after a failure, so it must be idempotent by id."""
-        self._plans.append((name, df, sink))
+    def submit(self, name: str, df: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+        """``sink(batch, batch_id)`` gets each micro-batch; batches repeat after a failure, so it must be idempotent by id.
+
+        Mode ``update`` hands on each window whenever it changed (emit on update) instead of once, when it closed.
+        """
+        self._plans.append((name, df, sink, mode))
 
     def execute(self, available_now: bool = True) -> None:
         """Starts all queries, then waits for them."""
         with self._lock:
-            for name, df, sink in self._plans:
-                writer = df.writeStream.queryName(name).outputMode("append").option("checkpointLocation", f"{self.checkpoint}/{name}").foreachBatch(sink)
+            for name, df, sink, mode in self._plans:
+                writer = df.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{self.checkpoint}/{name}").foreachBatch(sink)
                 self._running.append((writer.trigger(availableNow=True) if available_now else writer).start())
             self._plans = []
         for q in self._running:
