@@ -6,7 +6,9 @@ it (count windows, watermarks) is computed from ranks over range-partitioned row
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,7 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
         named = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
         if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+        if not named:
+            named = tempfile.mkdtemp(prefix="millrace-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
