@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 
+#: How the partial results of each kind combine.
+HOW = {"sum": ("sum",), "count": ("sum",), "min": ("min",), "max": ("max",), "avg": ("sum", "sum")}
+
+
 @dataclass(frozen=True)
 class Agg:
     """``partial`` columns over rows, ``merge`` of each over partials, and the final expression over the merged ones."""
@@ -27,8 +31,16 @@ class Agg:
         return {"sum": [F.sum(v)], "count": [F.count(v)], "min": [F.min(v)], "max": [F.max(v)], "avg": [F.sum(v), F.count(v)]}[self.kind]
 
     def merged(self, names: list[str]) -> list[Column]:
-        how = {"sum": [F.sum], "count": [F.sum], "min": [F.min], "max": [F.max], "avg": [F.sum, F.sum]}[self.kind]
-        return [f(n) for f, n in zip(how, names, strict=True)]
+        return [getattr(F, how)(n) for how, n in zip(HOW[self.kind], names, strict=True)]
+
+    def again(self, names: list[str]) -> dict[str, Agg]:
+        """Aggregates that combine the partial results under their own names."""
+        return {n: Agg(how, n) for how, n in zip(HOW[self.kind], names, strict=True)}
+
+    def joined(self, first: list[Column], second: list[Column]) -> list[Column]:
+        """Two partial results as one; a null one holds nothing."""
+        ways = {"sum": lambda a, b: F.coalesce(a + b, a, b), "min": F.least, "max": F.greatest}
+        return [ways[how](a, b) for how, a, b in zip(HOW[self.kind], first, second, strict=True)]
 
     def final(self, names: list[str]) -> Column:
         if self.kind == "avg":

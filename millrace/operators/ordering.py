@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Least rows of a block in two-level runs. Past its square, blocks grow with the square root of the rows, and so does their number.
+BLOCK = 10_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a local session that names none gets a temporary one."""
     sc = spark.sparkContext
@@ -59,13 +63,28 @@ def ranked(df: DataFrame, *keys: str | Column, name: str = "rank", total: str |
     return rows.withColumn(total, F.lit(before).cast("long")) if total else rows
 
 
-def running_max(df: DataFrame, order: str, value: str, name: str, block: int = 10_000) -> DataFrame:
-    """(order, name): the maximum of ``value`` over all rows before, by the dense integer ``order``; null for the first.
+def _block(place: Column, total: Column) -> Column:
+    return F.floor(place / F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(total)))).cast("long")
+
+
+def blocked(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """``df`` in the order of ``keys`` and ``order``, cut into blocks of rows.
+
+    Adds ``__key`` (the keys as a struct, so that null keys join), ``__place`` (from 0 on, over all keys) and ``__block``. A
+    hot key spans many blocks: what runs along a key runs inside (``__key``, ``__block``) and over one row per block.
+    """
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    rows = ranked(df.withColumn("__key", key), "__key", *order, name="__place", total="__rows")
+    return rows.withColumn("__block", _block(F.col("__place"), F.col("__rows"))).drop("__rows")
+
+
+def running_max(df: DataFrame, order: str, value: str, name: str, total: str) -> DataFrame:
+    """(order, name): the maximum of ``value`` over all rows before, by the dense integer ``order`` below the column ``total``; null for the first.
 
     Two levels: maxima of blocks of rows, whose running maximum is taken over one row per block, and the
     running maximum inside each block.
     """
-    rows = df.select(order, value, F.floor(F.col(order) / block).alias("__block"))
+    rows = df.select(order, value, _block(F.col(order), F.col(total)).alias("__block"))
     whole = rows.groupBy("__block").agg(F.max(value).alias("__max"))
     before = whole.select("__block", F.max("__max").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
     inside = F.max(value).over(Window.partitionBy("__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.aggregates import Agg, as_column, merged, partial
-from millrace.operators.ordering import ranked
+from millrace.operators.ordering import blocked, ranked
 from millrace.operators.rows import SEQ, TS, WM
 from millrace.operators.watermark import in_force
 from millrace.plans.window_spec import WindowSpec
@@ -73,8 +73,12 @@ def time_aggregate(df: DataFrame, spec: WindowSpec, aggs: dict[str, Agg | Column
 def _numbered(df: DataFrame, keys: list[str]) -> DataFrame:
     """``df`` with ``__rn``, the place in arrival order from 1 on (per key), and ``__all``, the number of rows."""
     if keys:
-        place = Window.partitionBy(*keys)
-        return df.withColumn("__rn", F.row_number().over(place.orderBy(SEQ)).cast("long")).withColumn("__all", F.count("*").over(place))
+        rows = blocked(df, keys, SEQ)
+        whole = Window.partitionBy("__key")
+        blocks = rows.groupBy("__key", "__block").agg(F.min("__place").alias("__first"), F.count("*").alias("__n"))
+        blocks = blocks.select("__key", "__block", F.min("__first").over(whole).alias("__first"), F.sum("__n").over(whole).alias("__all"))
+        rows = rows.join(blocks, ["__key", "__block"]).withColumn("__rn", F.col("__place") - F.col("__first") + 1)
+        return rows.drop("__key", "__block", "__place", "__first")
     return ranked(df, SEQ, name="__rn", total="__all").withColumn("__rn", F.col("__rn") + 1)
 
 
@@ -137,15 +141,46 @@ def apply_function(df: DataFrame, spec: WindowSpec, func: Callable[[pd.DataFrame
 
 def session_aggregate(df: DataFrame, gap: int, aggs: dict[str, Agg | Column], keys: list[str]) -> DataFrame:
     """Sessions per key: rows less than ``gap`` ticks apart; the window ends ``gap`` after the last row. (An extension.)"""
-    place = Window.partitionBy(*keys).orderBy(TS, SEQ)
-    fresh = F.when(F.col(TS) - F.lag(TS).over(place) < gap, 0).otherwise(1)
-    rows = df.withColumn("__fresh", fresh).withColumn("__session", F.sum("__fresh").over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = blocked(df, keys, TS, SEQ)
+    inside = Window.partitionBy("__key", "__block").orderBy("__place")
+    rows = rows.withColumn("__fresh", F.when(F.col(TS) - F.lag(TS).over(inside) >= gap, 1).otherwise(0))
+    rows = rows.withColumn("__inside", F.sum("__fresh").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = rows.groupBy("__key", "__block").agg(F.min(TS).alias("__low"), F.max(TS).alias("__top"), F.max("__inside").alias("__more"))
+    along = Window.partitionBy("__key").orderBy("__block")
+    blocks = blocks.withColumn("__new", F.when(F.col("__low") - F.lag("__top").over(along) < gap, 0).otherwise(1))
+    upto = F.sum(F.col("__new") + F.col("__more")).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.join(blocks.select("__key", "__block", (upto - F.col("__more")).alias("__before")), ["__key", "__block"])
+    rows = rows.withColumn("__session", F.col("__before") + F.col("__inside"))
     out = rows.groupBy(*keys, "__session").agg(*[as_column(a).alias(n) for n, a in aggs.items()], F.min(TS).alias("window_start"), (F.max(TS) + gap).alias(END))
     return out.select(*keys, "window_start", END, *aggs, F.col(END).alias(TS), F.col(END).alias(SEQ), F.lit(None).cast("long").alias(WM))
 
 
+def _so_far(df: DataFrame, aggs: dict[str, Agg], keys: list[str], order: str) -> DataFrame:
+    """``df`` with the aggregates over each row and those of its key before it: run inside blocks, on top of what the blocks before hold."""
+    rows = blocked(df, keys, order)
+    names = {n: a.names(n) for n, a in aggs.items()}
+    along = Window.partitionBy("__key").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__key", "__block").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = partial(rows.groupBy("__key", "__block"), aggs)
+    blocks = blocks.select("__key", "__block", *[c.over(along).alias(f"{p}_before") for n, a in aggs.items() for p, c in zip(names[n], a.merged(names[n]), strict=True)])
+    rows = rows.select("*", *[c.over(inside).alias(p) for n, a in aggs.items() for p, c in zip(names[n], a.partials(), strict=True)])
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    rows = rows.join(blocks, ["__key", "__block"])
+    for n, a in aggs.items():
+        both = a.joined([F.col(f"{p}_before") for p in names[n]], [F.col(p) for p in names[n]])
+        rows = rows.withColumns({p: c.cast(types[p]) for p, c in zip(names[n], both, strict=True)})
+    rows = rows.withColumns({n: a.final(names[n]) for n, a in aggs.items()})
+    made = [p for ps in names.values() for p in ps]
+    return rows.drop("__key", "__block", "__place", *made, *[f"{p}_before" for p in made])
+
+
 def rolling(df: DataFrame, aggs: dict[str, Agg | Column], keys: list[str]) -> DataFrame:
-    """The running aggregate per key after each row, in arrival order. (An extension.)"""
+    """The running aggregate per key after each row, in arrival order. (An extension.)
+
+    Mergeable aggregates run in blocks of rows, so a hot key is split; others need all rows of a key in one task.
+    """
+    if all(isinstance(a, Agg) for a in aggs.values()):
+        return _so_far(df, aggs, keys, SEQ)
     place = Window.partitionBy(*keys).orderBy(SEQ).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumns({n: as_column(a).over(place) for n, a in aggs.items()})
 
@@ -155,19 +190,18 @@ def triggered(df: DataFrame, spec: WindowSpec, aggs: dict[str, Agg], keys: list[
 
     A firing keeps the window's state (each result covers all rows so far) or, with ``purge``, clears it (each covers the rows
     since the last). ``firing`` counts from 0; ``every=1`` emits on each update. With ``retract`` each result that replaces
-    another comes with that one again, ``change`` -1 instead of 1. Rows are aggregated to firings first; only these are run through in order.
+    another comes with that one again, ``change`` -1 instead of 1. Rows are numbered and firings run through in blocks, so a large window is split.
     """
-    place = Window.partitionBy(*keys, END).orderBy(SEQ)
-    rows = assign_time(df, spec, late).withColumn("firing", F.floor((F.row_number().over(place) - 1) / every).cast("long"))
+    rows = _numbered(assign_time(df, spec, late), [*keys, END]).withColumn("firing", F.floor((F.col("__rn") - 1) / every).cast("long"))
     parts = partial(rows.groupBy(*keys, END, "firing"), aggs, F.max(SEQ).alias(SEQ))
     if not purge:
-        so_far = Window.partitionBy(*keys, END).orderBy("firing").rowsBetween(Window.unboundedPreceding, 0)
-        parts = parts.withColumns({p: c.over(so_far) for n, a in aggs.items() for p, c in zip(a.names(n), a.merged(a.names(n)), strict=True)})
+        parts = _so_far(parts, {p: step for n, a in aggs.items() for p, step in a.again(a.names(n)).items()}, [*keys, END], "firing")
     names = list(aggs)
     out = parts.select(*keys, END, "firing", SEQ, *[a.final(a.names(n)).alias(n) for n, a in aggs.items()])
     if retract:
-        step = Window.partitionBy(*keys, END).orderBy("firing")
-        before = out.select(*keys, END, "firing", SEQ, *[F.lag(n).over(step).alias(n) for n in names]).filter("firing > 0")
+        out = out.withColumn("__window", F.struct(*keys, END))
+        replaced = out.select("__window", (F.col("firing") + 1).alias("firing"), *names)
+        before = out.drop(*names).join(replaced, ["__window", "firing"])
         out = out.withColumn("change", F.lit(1)).unionByName(before.withColumn("change", F.lit(-1)))
         names = [*names, "change"]
     start = F.greatest(F.col(END) - spec.size, F.lit(0).cast("long")).alias("window_start")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from simulator import count_windows, time_windows, watermarks
 
-from millrace.operators import watermark
+from millrace.operators import ordering, watermark
 from millrace.operators.aggregates import avg_of, count_of, max_of, min_of, sum_of
 from millrace.operators.rows import as_stream
 from millrace.plans.batch import result
@@ -143,3 +143,48 @@ def test_chained_windows(spark):
     s = stream(spark, [(i, i) for i in range(20)]).window(time_window(5, 5)).reduce(total=sum_of("value"))
     out = result(s.window(count_window(3, 3)).reduce(all=sum_of("total")).build())
     assert [r.all for r in out.orderBy("window_index").collect()] == [sum(range(15)), sum(range(15, 20))]
+
+
+def test_hot_keys_run_in_blocks(spark, monkeypatch):
+    """One key holds most rows and spans many blocks; null and NaN are keys of their own, both zeros are one."""
+    monkeypatch.setattr(ordering, "BLOCK", 7)
+    rng = random.Random(3)
+    keys = [rng.choice([1.0] * 6 + [2.0, float("nan"), None, 0.0, -0.0]) for _ in range(300)]
+    rows = [(i, k, rng.choice([None, *range(-5, 6)]), i // 3 * rng.choice([1, 1, 1, 2])) for i, k in enumerate(keys)]
+    shown = lambda k: repr(None if k is None else k + 0.0)
+    by_key = {}
+    for r in rows:
+        by_key.setdefault(shown(r[1]), []).append(r)
+    source = lambda: GraphBuilder().source(spark.createDataFrame(rows, "i long, k double, value long, t long"), "t", "i").key_by("k")
+    total = lambda values: sum(v for v in values if v is not None) if any(v is not None for v in values) else None
+
+    out = result(source().rolling(s=sum_of("value"), n=count_of("value"), hi=max_of("value")).build())
+    got = {r.i: (r.s, r.n, r.hi) for r in out.collect()}
+    for part in by_key.values():
+        for at, r in enumerate(part, 1):
+            known = [x[2] for x in part[:at] if x[2] is not None]
+            assert got[r[0]] == (total(known), len(known), max(known, default=None))
+    assert len(got) == len(rows)
+
+    out = result(source().window(count_window(4, 4)).reduce(s=sum_of("value"), n=count_of()).build()).collect()
+    assert sorted((shown(r.k), r.window_index, r.n, repr(r.s)) for r in out) == sorted((k, i, len(p[4 * i : 4 * i + 4]), repr(total([x[2] for x in p[4 * i : 4 * i + 4]]))) for k, p in by_key.items() for i in range((len(p) + 3) // 4))
+
+    expected = []
+    for k, part in by_key.items():
+        part, open_ = sorted(part, key=lambda r: (r[3], r[0])), []
+        for r in [*part, None]:
+            if open_ and (r is None or r[3] - open_[-1] >= 3):
+                expected.append((k, open_[0], open_[-1] + 3, len(open_)))
+                open_ = []
+            if r:
+                open_.append(r[3])
+    out = result(source().session(3, n=count_of()).build()).collect()
+    assert sorted((shown(r.k), r.window_start, r.window_end, r.n) for r in out) == sorted(expected)
+
+
+def test_rolling_and_sessions_without_keys(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "BLOCK", 2)
+    s = stream(spark, [(1, 0), (2, 1), (4, 9), (8, 10), (16, 30)])
+    assert [r.x for r in result(s.rolling(x=sum_of("value")).build()).orderBy("i").collect()] == [1, 3, 7, 15, 31]
+    s = stream(spark, [(1, 0), (2, 1), (4, 9), (8, 10), (16, 30)])
+    assert sorted((r.window_start, r.x) for r in result(s.session(5, x=sum_of("value")).build()).collect()) == [(0, 3), (9, 12), (30, 16)]
