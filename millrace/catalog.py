@@ -100,6 +100,12 @@ def q_time_sliding_5h_2h(spark, sf_dir):
     return _rows(_events(spark, sf_dir).window(time_window(5 * HOUR, 2 * HOUR)).reduce(n=count_of(), total=sum_of("cents")).sink())
 
 
+@query(_time_sql(30 * DAY, 6 * HOUR, "count(*) AS n, sum(cents)::BIGINT AS total", keys="event_type"))
+def q_time_sliding_30d_6h(spark, sf_dir):
+    """Windows that overlap 120 times: rows are added and, when they leave, subtracted."""
+    return _rows(_events(spark, sf_dir).key_by("event_type").window(time_window(30 * DAY, 6 * HOUR)).reduce(n=count_of(), total=sum_of("cents")).sink())
+
+
 @query(_time_sql(HOUR, 3 * HOUR))
 def q_time_gap_1h_3h(spark, sf_dir):
     """Windows with gaps between them."""

@@ -23,6 +23,9 @@ from millrace.plans.window_spec import WindowSpec
 
 END, INDEX = "window_end", "window_index"
 
+#: Windows that overlap so many times take rows in and out (where the aggregates can) instead of copying slices.
+OVERLAP = 16
+
 
 def _ends(ts: Column, spec: WindowSpec) -> Column:
     """All window ends that hold the tick: multiples of the advance in (ts, ts + size]."""
@@ -55,7 +58,9 @@ def time_aggregate(df: DataFrame, spec: WindowSpec, aggs: dict[str, Agg | Column
 
     Overlapping windows over mergeable aggregates share slices: rows are first aggregated by slices of
     gcd(size, advance) ticks, and only the slices are copied into their windows. Where rows can be late, a
-    slice is one per watermark in force, and windows that had fired by then are left out.
+    slice is one per watermark in force, and windows that had fired by then are left out. Counts, and sums and
+    averages of whole numbers, over windows that overlap ``OVERLAP`` times or more are carried from window to
+    window: a slice is added at its first and subtracted after its last.
     """
     keys, names = list(keys), list(aggs)
     if spec.advance >= spec.size or not all(isinstance(a, Agg) for a in aggs.values()):
@@ -63,6 +68,8 @@ def time_aggregate(df: DataFrame, spec: WindowSpec, aggs: dict[str, Agg | Column
         return _finish(out, keys, names, spec)
     width = math.gcd(spec.size, spec.advance)
     rows = df.withColumn("__met", in_force(df)) if late else df
+    if spec.size >= OVERLAP * spec.advance and _subtractable(rows, aggs):
+        return _finish(_evicting(rows, spec, width, aggs, keys, late), keys, names, spec)
     slices = partial(rows.groupBy(*keys, (F.floor(F.col(TS) / width) * width).alias("__slice"), *(["__met"] if late else [])), aggs)
     windows = slices.withColumn(END, F.explode(_ends(F.col("__slice"), spec)))
     if late:
@@ -70,6 +77,33 @@ def time_aggregate(df: DataFrame, spec: WindowSpec, aggs: dict[str, Agg | Column
     return _finish(merged(windows.groupBy(*keys, END), aggs, [*keys, END]), keys, names, spec)
 
 
+def _subtractable(df: DataFrame, aggs: dict[str, Agg]) -> bool:
+    if any(a.kind not in ("sum", "count", "avg") for a in aggs.values()):
+        return False
+    sums = df.select(*[a.partials()[0].alias(n) for n, a in aggs.items()])
+    return all(f.dataType.simpleString() == "bigint" for f in sums.schema.fields)
+
+
+def _evicting(rows: DataFrame, spec: WindowSpec, width: int, aggs: dict[str, Agg], keys: list[str], late: bool) -> DataFrame:
+    """Aggregates per window: two changes per slice, added up along the windows' ends, and repeated for the ends without a change."""
+    known = {f"{n}__known": Agg("count", a.column) for n, a in aggs.items() if a.kind == "sum"}  # a sum of nulls only is null
+    full = {**aggs, **known, "__held": Agg("count", F.lit(1))}
+    parts = [p for n, a in full.items() for p in a.names(n)]
+    slices = partial(rows.groupBy(*keys, (F.floor(F.col(TS) / width) * width).alias("__slice"), *(["__met"] if late else [])), full)
+    step = F.lit(spec.advance).cast("long")
+    after = lambda t: F.floor(t / step) * step + step
+    first = F.greatest(after(F.col("__slice")), after(F.col("__met"))) if late else after(F.col("__slice"))
+    slices = slices.withColumn("__from", first).withColumn("__to", after(F.col("__slice") + spec.size)).filter("__from < __to")
+    exact = {p: F.coalesce(F.col(p), F.lit(0)).cast("decimal(28,0)") for p in parts}  # no overflow but of a window's own sum
+    change = lambda at, sign: F.struct(F.col(at).alias(END), *[(c * F.lit(sign).cast("decimal(1,0)")).cast("decimal(28,0)").alias(p) for p, c in exact.items()])
+    changes = slices.select(*keys, F.explode(F.array(change("__from", 1), change("__to", -1))).alias("x")).select(*keys, "x.*")
+    changes = changes.groupBy(*keys, END).agg(*[F.sum(p).alias(p) for p in parts])
+    held = _so_far(changes, {p: Agg("sum", p) for p in parts}, keys, END, then="__then").filter("____held_0 > 0")
+    out = held.withColumn(END, F.explode(F.sequence(F.col(END), F.col("__then") - step, step))).withColumns({p: F.col(p).cast("long") for p in parts})
+    some = lambda n, a: F.when(F.col(f"__{n}__known_0") > 0, a.final(a.names(n))) if a.kind == "sum" else a.final(a.names(n))
+    return out.select(*keys, END, *[some(n, a).alias(n) for n, a in aggs.items()])
+
+
 def _numbered(df: DataFrame, keys: list[str]) -> DataFrame:
     """``df`` with ``__rn``, the place in arrival order from 1 on (per key), and ``__all``, the number of rows."""
     if keys:
@@ -155,23 +189,28 @@ def session_aggregate(df: DataFrame, gap: int, aggs: dict[str, Agg | Column], ke
     return out.select(*keys, "window_start", END, *aggs, F.col(END).alias(TS), F.col(END).alias(SEQ), F.lit(None).cast("long").alias(WM))
 
 
-def _so_far(df: DataFrame, aggs: dict[str, Agg], keys: list[str], order: str) -> DataFrame:
-    """``df`` with the aggregates over each row and those of its key before it: run inside blocks, on top of what the blocks before hold."""
+def _so_far(df: DataFrame, aggs: dict[str, Agg], keys: list[str], order: str, then: str | None = None) -> DataFrame:
+    """``df`` with the aggregates over each row and those of its key before it: run inside blocks, on top of what the blocks before hold. ``then`` names a column for the next row's ``order``."""
     rows = blocked(df, keys, order)
     names = {n: a.names(n) for n, a in aggs.items()}
     along = Window.partitionBy("__key").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("__key", "__block").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = partial(rows.groupBy("__key", "__block"), aggs)
-    blocks = blocks.select("__key", "__block", *[c.over(along).alias(f"{p}_before") for n, a in aggs.items() for p, c in zip(names[n], a.merged(names[n]), strict=True)])
+    blocks = partial(rows.groupBy("__key", "__block"), aggs, F.min(order).alias("__low"))
+    coming = F.lead("__low").over(Window.partitionBy("__key").orderBy("__block")).alias("__coming")
+    blocks = blocks.select("__key", "__block", *([coming] if then else []), *[c.over(along).alias(f"{p}_before") for n, a in aggs.items() for p, c in zip(names[n], a.merged(names[n]), strict=True)])
     rows = rows.select("*", *[c.over(inside).alias(p) for n, a in aggs.items() for p, c in zip(names[n], a.partials(), strict=True)])
     types = {f.name: f.dataType for f in rows.schema.fields}
+    if then:
+        rows = rows.withColumn(then, F.lead(order).over(Window.partitionBy("__key", "__block").orderBy("__place")))
     rows = rows.join(blocks, ["__key", "__block"])
+    if then:
+        rows = rows.withColumn(then, F.coalesce(then, "__coming"))
     for n, a in aggs.items():
         both = a.joined([F.col(f"{p}_before") for p in names[n]], [F.col(p) for p in names[n]])
         rows = rows.withColumns({p: c.cast(types[p]) for p, c in zip(names[n], both, strict=True)})
     rows = rows.withColumns({n: a.final(names[n]) for n, a in aggs.items()})
     made = [p for ps in names.values() for p in ps]
-    return rows.drop("__key", "__block", "__place", *made, *[f"{p}_before" for p in made])
+    return rows.drop("__key", "__block", "__place", "__coming", *made, *[f"{p}_before" for p in made])
 
 
 def rolling(df: DataFrame, aggs: dict[str, Agg | Column], keys: list[str]) -> DataFrame:

@@ -107,6 +107,24 @@ def test_slices_equal_plain_windows(spark):
     assert key(a) == key(b)
 
 
+@pytest.mark.parametrize("late", [False, True])
+def test_taking_rows_out_equals_plain_windows(spark, monkeypatch, late):
+    monkeypatch.setattr(ordering, "BLOCK", 5)
+    rng = random.Random(9)
+    big = 1 << 61
+    rows = [(i, rng.choice("abb"), rng.choice([None, None, -3, 5, 7]), rng.randint(0, 40) + i * 3 + (900 if i > 150 else 0)) for i in range(200)]
+    rows += [(200 + i, "c", big, 5000 + 100 * i) for i in range(6)]
+
+    def run(**aggs):
+        s = GraphBuilder().source(spark.createDataFrame(rows, "i long, k string, value long, t long"), "t", "i")
+        s = (s.with_watermark(10, 3) if late else s).key_by("k")
+        return sorted(map(repr, result(s.window(time_window(100, 3)).reduce(**aggs).build()).drop("__wm").collect()))
+
+    got = run(s=sum_of("value"), n=count_of("value"), m=avg_of("value"))
+    assert got == run(s=F.sum("value"), n=F.count("value"), m=F.try_divide(F.sum("value"), F.count("value")))
+    assert any("s=None" in r for r in got)
+
+
 def test_function_sees_rows_in_order(spark):
     rows = [(1, 4), (2, 2), (3, 4), (4, 0)]
     text = lambda p: pd.DataFrame({"seen": [",".join(map(str, p["value"]))]})
