@@ -63,8 +63,8 @@ def ranked(df: DataFrame, *keys: str | Column, name: str = "rank", total: str |
     return rows.withColumn(total, F.lit(before).cast("long")) if total else rows
 
 
-def _block(place: Column, total: Column) -> Column:
-    return F.floor(place / F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(total)))).cast("long")
+def _block(place: Column, total: Column, least: int) -> Column:
+    return F.floor(place / F.greatest(F.lit(least), F.ceil(F.sqrt(total)))).cast("long")
 
 
 def blocked(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -75,16 +75,16 @@ def blocked(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
     rows = ranked(df.withColumn("__key", key), "__key", *order, name="__place", total="__rows")
-    return rows.withColumn("__block", _block(F.col("__place"), F.col("__rows"))).drop("__rows")
+    return rows.withColumn("__block", _block(F.col("__place"), F.col("__rows"), BLOCK)).drop("__rows")
 
 
-def running_max(df: DataFrame, order: str, value: str, name: str, total: str) -> DataFrame:
-    """(order, name): the maximum of ``value`` over all rows before, by the dense integer ``order`` below the column ``total``; null for the first.
+def running_max(df: DataFrame, order: str, value: str, name: str, block: int = BLOCK, total: str | None = None) -> DataFrame:
+    """(order, name): the maximum of ``value`` over all rows before, by the dense integer ``order``; null for the first.
 
     Two levels: maxima of blocks of rows, whose running maximum is taken over one row per block, and the
-    running maximum inside each block.
+    running maximum inside each block. ``total`` names a column with the number of rows, with which blocks grow.
     """
-    rows = df.select(order, value, _block(F.col(order), F.col(total)).alias("__block"))
+    rows = df.select(order, value, _block(F.col(order), F.col(total) if total else F.lit(0), block).alias("__block"))
     whole = rows.groupBy("__block").agg(F.max(value).alias("__max"))
     before = whole.select("__block", F.max("__max").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
     inside = F.max(value).over(Window.partitionBy("__block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))

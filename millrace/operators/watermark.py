@@ -18,7 +18,7 @@ def _blocks(df: DataFrame, interval: int) -> tuple[DataFrame, DataFrame]:
     """Rows with their block of ``interval`` arrivals, and per block the largest event time up to its start."""
     rows = ranked(df, SEQ, name="__i", total="__all").withColumn("__b", F.floor(F.col("__i") / interval))
     top = rows.groupBy("__b", F.ceil(F.col("__all") / interval).alias("__blocks")).agg(F.max(TS).alias("__top"), F.count("*").alias("__n"))
-    return rows.drop("__all"), running_max(top, "__b", "__top", "__before", "__blocks").join(top, "__b")
+    return rows.drop("__all"), running_max(top, "__b", "__top", "__before", total="__blocks").join(top, "__b")
 
 
 def stamp(df: DataFrame, lateness: int = 0, interval: int = 100) -> DataFrame:
@@ -36,7 +36,7 @@ def emitted(df: DataFrame, lateness: int = 0, interval: int = 100) -> DataFrame:
     upto = F.greatest("__before", "__top")
     b = blocks.withColumn("at", F.col("__b") * interval + F.col("__n")).withColumn("watermark", F.when(upto >= lateness, upto - lateness)).filter("watermark IS NOT NULL")
     b = settled(ranked(b.select("at", "watermark"), "at", name="__i", total="__all"))
-    last = running_max(b, "__i", "watermark", "__last", "__all")
+    last = running_max(b, "__i", "watermark", "__last", total="__all")
     return b.join(last, "__i").filter("__last IS NULL OR watermark > __last").select("at", "watermark")
 
 
