@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import time
@@ -165,6 +166,52 @@ def test_typed_and_subscripted_secrets(text, found):
     assert [text[s[0] : s[3]] for s in secrets.scan_text(text)[1]] == found
 
 
+def generated_source(rng):
+    """A random source text and the spans of its secret literals, from an evaluation of its assignments while they are written."""
+    sensitive, harmless = ["password", "auth_token", "clientSecret", "db.passwd", "api_key", "SECRET"], ["part", "label", "x1", "user_name", "a.b", "auth"]
+    text, known, best = "", {}, {}
+    for _ in range(rng.randint(1, 12)):
+        if rng.random() < 0.2:
+            text += rng.choice(["# a remark\n", "call(1, 2)\n", "if x == 3:\n", "\n", "é ü\n"])
+        name = rng.choice(sensitive + harmless)
+        subscript = rng.random() < 0.2
+        text += rng.choice(["", "  ", "export ", "const "])
+        text += f'cfg["{name}"] = ' if subscript else name + rng.choice([" = ", "=", ": ", " := "])
+        value, spans = "", set()
+        for k in range(rng.choice([1, 1, 2, 3])):
+            text += " + " if k else ""
+            if known and rng.random() < 0.4:
+                other = rng.choice(sorted(known))
+                text += other
+                value, spans = value + known[other][0], spans | known[other][1]
+                continue
+            literal = "".join(rng.choice(rng.choice(["ab", "abcdefgh0123456789", "QRSTUVWXYZ57"])) for _ in range(rng.choice([3, 6, 9, 14, 20])))
+            left, right = rng.choice(['""', "''", "``"])
+            spans = spans | {(len(text) + 1, len(text) + 1 + len(literal))}
+            value, text = value + literal, text + left + literal + right
+        text += rng.choice(["\n", ";\n", "\n\n"])
+        if not subscript:
+            known[name] = value, spans
+        if name in sensitive and len(value) >= 6:
+            share = [value.count(c) / len(value) for c in set(value)]
+            score = 0.5 * min(1, -sum(p * math.log2(p) for p in share) / 3.5) + 0.3 * (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)) + 0.2 * min(1, len(value) / 16)
+            for x in spans if 0.6 + 0.4 * score >= secrets.THRESHOLD else ():
+                best[x] = max(best.get(x, 0), 0.6 + 0.4 * score)
+    return text, best
+
+
+def test_literals_of_generated_sources(spark):
+    rng = random.Random(31)
+    made = [generated_source(rng) for _ in range(400)]
+    rows = secrets.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)], "doc_id long, text string")).collect()
+    assert sum(len(best) for _, best in made) > 500
+    for r in rows:
+        text, best = made[r.doc_id]
+        got = [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("literal")]
+        assert got == sorted(best), text
+        assert r.scores == pytest.approx([best[x] for x in got]) and r.literals == [text[a:b] for a, b in got]
+
+
 def test_many_finds_in_one_text(spark):
     """100,000 addresses in one line of 1 MB: found and redacted in seconds, as by Python."""
     text = "mail " + "".join(f"{'é' if i % 7 == 0 else 'x'}u{i}@b.co 1.2.3.{i % 300} " for i in range(50_000))
