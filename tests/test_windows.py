@@ -206,3 +206,12 @@ def test_rolling_and_sessions_without_keys(spark, monkeypatch):
     assert [r.x for r in result(s.rolling(x=sum_of("value")).build()).orderBy("i").collect()] == [1, 3, 7, 15, 31]
     s = stream(spark, [(1, 0), (2, 1), (4, 9), (8, 10), (16, 30)])
     assert sorted((r.window_start, r.x) for r in result(s.session(5, x=sum_of("value")).build()).collect()) == [(0, 3), (9, 12), (30, 16)]
+
+
+def test_updates_leave_late_rows_out(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "BLOCK", 2)
+    rows = [(1, 0), (2, 4), (4, 12), (8, 3), (16, 13), (32, 15)]
+    s = stream(spark, rows).with_watermark(0, 1).window(time_window(10, 10))
+    out = result(s.updates(retract=True, total=sum_of("value")).build())
+    got = sorted((r.window_end, r.firing, r.change, r.total) for r in out.collect())
+    assert got == [(10, 0, 1, 1), (10, 1, -1, 1), (10, 1, 1, 3), (20, 0, 1, 4), (20, 1, -1, 4), (20, 1, 1, 20), (20, 2, -1, 20), (20, 2, 1, 52)]
