@@ -251,6 +251,23 @@ def q_interval_join(spark, sf_dir):
     return _rows(s.sink())
 
 
+@query(SQL["q_interval_join"])
+def q_join_udf(spark, sf_dir):
+    """Opaque key selectors and an opaque join function; the purchases are sent to every task if they are few."""
+    clicks, buys = _both(GraphBuilder(), spark, sf_dir)
+    key = lambda rows: rows["user_id"]
+    pair = lambda a, b: pd.DataFrame({"click_id": a["event_id"], "purchase_id": b["event_id"], "gap": b["__ts"] - a["__ts"]})
+    return _rows(clicks.interval_join(buys.broadcast(), key, key, -HOUR, 6 * HOUR, pair, "click_id long, purchase_id long, gap long").sink())
+
+
+@query(f"WITH {EV} SELECT event_id, user_id, cents * 3 AS tripled FROM ev WHERE cents % 3 <> 0")
+def q_parallelism(spark, sf_dir):
+    """Operators that ask for partitions of their own, one of them by key."""
+    s = _events(spark, sf_dir).filter(F.col("cents") % 3 != 0).with_parallelism(6)
+    s = s.key_by("user_id").map(event_id=F.col("event_id"), user_id=F.col("user_id"), tripled=F.col("cents") * 3).with_parallelism(3)
+    return _rows(s.sink())
+
+
 @query(f"""WITH {EV}, h AS (SELECT tick // {HOUR} * {HOUR} + {HOUR} AS e, sum(cents)::BIGINT AS total FROM ev GROUP BY 1)
     SELECT greatest(e // {DAY} * {DAY}, 0)::BIGINT AS window_start, (e // {DAY} * {DAY} + {DAY})::BIGINT AS window_end, count(*) AS hours, max(total) AS best FROM h GROUP BY e // {DAY}""")
 def q_window_chain(spark, sf_dir):
@@ -337,6 +354,13 @@ def q_shift_ops(spark, sf_dir):
     )
 
 
+@query(f"WITH {EV} SELECT event_id, regexp_replace((cents / 4.0)::DOUBLE::VARCHAR, '[.]0$', '') AS quarter, (cents - 3000)::VARCHAR AS whole FROM ev")
+def q_number_text(spark, sf_dir):
+    """Numbers as text."""
+    a = F.col("cents")
+    return events(spark, sf_dir).select("event_id", strict.text(a / 4, "f64").alias("quarter"), strict.text(strict.subtract(a, F.lit(3000), "i32"), "i32").alias("whole"))
+
+
 @query("SELECT window_index::BIGINT AS window_index, count(*) AS n, sum(i * i)::BIGINT AS total FROM (SELECT i, i // 7 AS window_index FROM range(100) t(i)) GROUP BY window_index")
 def q_generator(spark, sf_dir):
     """A source that makes its rows where they are read."""
@@ -471,6 +495,16 @@ def q_stream_interval_join(spark, sf_dir):
     return _streamed(spark, s.sink().build(), sources)
 
 
+@query(SQL["q_window_join"])
+def q_stream_window_join(spark, sf_dir):
+    """Two streams joined by common window, with opaque key selectors."""
+    clicks, buys = _both(GraphBuilder(), spark, sf_dir)
+    key = lambda rows: rows["user_id"]
+    s = clicks.window_join(buys, key, key, time_tumbling_window(DAY), user_id=F.col("l.user_id"), click_id=F.col("l.event_id"), purchase_id=F.col("r.event_id"), window_end=F.unix_micros("l.w.end"))
+    sources = {n: _stream_events(spark, sf_dir, closing=False) for n in ("clicks", "purchases")}
+    return _streamed(spark, s.sink().build(), sources)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Doubled event values in count windows."""
     s = _events(spark, sf_dir).map(event_id=F.col("event_id"), cents=F.col("cents") * 2)

@@ -7,6 +7,8 @@ keeps the low bits. Floats divide as IEEE 754 says. u64 values are decimal(20,0)
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,3 +140,25 @@ def equal_float(a: Column, b: Column) -> Column:
 
 def less_float(a: Column, b: Column) -> Column:
     return ~F.isnan(a) & ~F.isnan(b) & (a < b)
+
+
+def text(a: Column, kind: str) -> Column:
+    """A number as text. Floats: the shortest digits that read back as the same number, in the shorter of the plain
+    and the scientific notation (plain if both are as long), ``inf``, ``-inf`` and ``nan``."""
+    if kind not in ("f32", "f64"):
+        return a.cast(spark_type(kind)).cast("string")
+
+    @F.pandas_udf("string")
+    def shortest(values: pd.Series) -> pd.Series:
+        return pd.Series([_float_text(x) for x in values.to_numpy()], dtype=str)  # numpy scalars keep their width
+
+    a = a.cast(spark_type(kind))
+    return F.when(a.isNotNull(), F.when(F.isnan(a), "nan").otherwise(shortest(a)))
+
+
+def _float_text(x: np.floating) -> str:
+    if not np.isfinite(x):
+        return "nan" if np.isnan(x) else "inf" if x > 0 else "-inf"
+    plain = str(int(x)) if abs(x) >= 2**53 else np.format_float_positional(x, unique=True, trim="-")
+    scientific = np.format_float_scientific(x, unique=True, trim="-", exp_digits=2)
+    return plain if len(plain) <= len(scientific) else scientific

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import threading
-import uuid
+from collections import deque
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from millrace.plans.graph import DataflowGraph
+from millrace.operators.joins import shared_if_small
+from millrace.plans.graph import DataflowGraph, Node
+from millrace.plans.slots import SlotManager
 
 
 def compile_graph(graph: DataflowGraph) -> dict[int, DataFrame]:
@@ -15,10 +17,18 @@ def compile_graph(graph: DataflowGraph) -> dict[int, DataFrame]:
     made: dict[int, DataFrame] = {}
     for i in graph.topological_order():
         node = graph.op(i)
-        made[i] = node.build(node.params, [made[s] for s in graph.sources_of(i)])
+        inputs = [shared_if_small(made[e.source]) if e.partition == "Broadcast" else made[e.source] for e in graph.edges if e.target == i]
+        made[i] = dealt(node.build(node.params, inputs), node)
     return made
 
 
+def dealt(df: DataFrame, node: Node) -> DataFrame:
+    """``df`` in as many partitions as the operator asks for, by its keys if it has some; as planned if it asks for one."""
+    if node.parallelism == 1:
+        return df
+    return df.repartition(node.parallelism, *[k for k in node.params.get("keys", ()) if isinstance(k, str) and k in df.columns])
+
+
 def results(graph: DataflowGraph) -> dict[int, DataFrame]:
     made = compile_graph(graph)
     return {i: made[i] for i in graph.leaves()}
@@ -36,10 +46,7 @@ class BatchEngine:
     """Runs several graphs, ``slots`` at a time; those that wait are queued, none is dropped."""
 
     def __init__(self, slots: int = 4):
-        if slots < 1:
-            raise ValueError("slots must be positive")
-        self.slots, self._graphs, self._stop = slots, [], threading.Event()
-        self._tag, self._spark = f"millrace-{uuid.uuid4().hex}", None
+        self.slots, self._graphs, self._stop = SlotManager(slots), [], threading.Event()
 
     def submit(self, graph: DataflowGraph) -> None:
         self._graphs.append(graph)
@@ -47,40 +54,31 @@ class BatchEngine:
     def cancel(self) -> None:
         """Stops the graphs that run and lets none begin."""
         self._stop.set()
-        if self._spark is not None:
-            self._spark.sparkContext.cancelJobsWithTag(self._tag)
+        self.slots.stop_all()
 
     def execute(self) -> int:
         """Calls every sink's function with its rows; the number of graphs that ran."""
-        gate, errors, ran = threading.Semaphore(self.slots), [], []
-
-        def work(graph: DataflowGraph) -> None:
-            with gate:
-                if self._stop.is_set() or errors:
-                    return
-                try:
-                    if self._spark is not None:
-                        self._spark.sparkContext.addJobTag(self._tag)
-                    for i, df in results(graph).items():
-                        if self._stop.is_set():
-                            return
-                        func = graph.op(i).params.get("func")
-                        if func:
-                            func(df)
-                        else:
-                            df.write.format("noop").mode("overwrite").save()
-                    ran.append(graph)
-                except Exception as e:
-                    if not self._stop.is_set():  # what a cancelled graph throws is no failure
-                        errors.append(e)
-
-        self._spark = SparkSession.getActiveSession()
-        threads = [threading.Thread(target=work, args=(g,)) for g in self._graphs]
+        waiting, errors, ran, take = deque(self._graphs), [], [], threading.Lock()
+        self._graphs = []
+
+        def work(slot) -> None:
+            while True:
+                with take:
+                    if self._stop.is_set() or errors or not waiting:
+                        return
+                    slot.assign(waiting.popleft())
+                    slot.start()
+                slot.wait()
+                if slot.error:
+                    errors.append(slot.error)
+                elif slot.finished:
+                    ran.append(slot)
+
+        threads = [threading.Thread(target=work, args=(self.slots.get_slot(i),)) for i in range(min(len(waiting), self.slots.slot_count))]
         for t in threads:
             t.start()
         for t in threads:
             t.join()
-        self._graphs = []
         if errors:
             raise errors[0]
         return len(ran)

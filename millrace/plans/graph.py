@@ -26,7 +26,7 @@ class Node:
 
 @dataclass(frozen=True)
 class Edge:
-    """``partition``: Forward, Keyed or Broadcast; a hint for printing, the plan decides."""
+    """``partition``: Forward, Keyed (its rows are dealt by key) or Broadcast (every task of the target gets all rows, if they are few)."""
 
     id: int
     source: int

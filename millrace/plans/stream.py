@@ -7,6 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 
+from millrace.functions.shapes import takes
 from millrace.operators import basic, joins, watermark, windows
 from millrace.operators.aggregates import Agg
 from millrace.operators.rows import as_stream
@@ -21,15 +22,17 @@ class GraphBuilder:
         self._nodes: list[Node] = []
         self._edges: list[Edge] = []
 
-    def _add(self, name: str, kind: str, inputs: list[int], build: Callable, partition: str = "Forward", **params) -> Stream:
+    def _add(self, name: str, kind: str, inputs: list[int], build: Callable, partition: str | list[str] = "Forward", **params) -> Stream:
         node = Node(len(self._nodes) + 1, name, kind, params, build)
         self._nodes.append(node)
-        for i in inputs:
-            self._edges.append(Edge(len(self._edges), i, node.id, partition))
+        for k, i in enumerate(inputs):
+            self._edges.append(Edge(len(self._edges), i, node.id, partition if isinstance(partition, str) else partition[k]))
         return Stream(self, node.id)
 
     def source(self, rows: DataFrame | Callable[[], DataFrame], ts: str | Column, seq: str | Column, name: str = "source", limit: int | None = None) -> Stream:
         """A DataFrame (or a function that makes one) with its event time (long ticks) and arrival order. ``limit``: only so many first rows are pulled."""
+        if callable(rows):
+            takes(rows, 0, "a source function", gives=True)
 
         def build(params: dict, _inputs: list[DataFrame]) -> DataFrame:
             df = as_stream(rows() if callable(rows) else rows, ts, seq)
@@ -51,8 +54,8 @@ class GraphBuilder:
 class Stream:
     """A handle on an operator's output."""
 
-    def __init__(self, builder: GraphBuilder, op: int, keys: tuple[str, ...] = ()):
-        self.builder, self.id, self.keys = builder, op, keys
+    def __init__(self, builder: GraphBuilder, op: int, keys: tuple[str, ...] = (), shared: bool = False):
+        self.builder, self.id, self.keys, self.shared = builder, op, keys, shared
 
     def _next(self, name: str, kind: str, build: Callable, partition: str = "Forward", **params) -> Stream:
         out = self.builder._add(name, kind, [self.id], lambda p, inputs: build(inputs[0]), partition, **params)
@@ -69,13 +72,28 @@ class Stream:
         self.builder._nodes[self.id - 1] = replace(node, params={**node.params, "lateness": lateness, "interval": interval})
         return self
 
+    def with_parallelism(self, n: int) -> Stream:
+        """This operator's rows in ``n`` partitions, by key after ``key_by``; 1 leaves it to the plan."""
+        if n < 1:
+            raise ValueError("parallelism must be positive")
+        node = self.builder._nodes[self.id - 1]
+        self.builder._nodes[self.id - 1] = replace(node, parallelism=n, params={"keys": list(self.keys), **node.params})
+        return self
+
+    def broadcast(self) -> Stream:
+        """As an input of a join: sent whole to every task, if it is found small when the graph is compiled."""
+        return Stream(self.builder, self.id, self.keys, True)
+
     def map(self, func: Callable | None = None, schema: str | None = None, *, ts: Column | None = None, keep: bool = False, **columns: Column) -> Stream:
         """New payload columns by expression; or ``func`` over pandas batches with the payload's ``schema``."""
         if func is not None:
+            takes(func, 1, "a map function", gives=True)
             return self._next("map", "Map", lambda df: basic.map_rows(df, func, schema))
         return self._next("map", "Map", lambda df: basic.map_columns(df, columns, ts, keep))
 
     def filter(self, predicate: Column | Callable) -> Stream:
+        if not isinstance(predicate, Column):
+            takes(predicate, 1, "a predicate", gives=True)
         return self._next("filter", "Filter", lambda df: basic.filter_rows(df, predicate))
 
     def key_by(self, *columns: str) -> Stream:
@@ -91,20 +109,34 @@ class Stream:
     def rolling(self, **aggs: Agg | Column) -> Stream:
         return self._next("rolling", "Map", lambda df: windows.rolling(df, aggs, list(self.keys)), "Keyed")
 
-    def window_join(self, other: Stream, left_key: Column, right_key: Column, spec: WindowSpec, *, ts: Column | None = None, **columns: Column) -> Stream:
+    def _joined(self, other: Stream, kind: str, name: str, build: Callable, keys: tuple[joins.Key, joins.Key], func: Callable | None, schema: str | None, columns: dict[str, Column], **params) -> Stream:
+        for k in keys:
+            if not isinstance(k, (str, Column)):
+                takes(k, 1, "a key selector", gives=True)
+        if func is not None:
+            takes(func, 2, "a join function", gives=True)
+        made = columns if func is None else (func, schema)
+        edges = ["Broadcast" if s.shared else "Forward" for s in (self, other)]
+        return self.builder._add(name, kind, [self.id, other.id], lambda p, i: build(*i, *keys, made), edges, made=made, keys=keys, **params)
+
+    def window_join(self, other: Stream, left_key: joins.Key, right_key: joins.Key, spec: WindowSpec, func: Callable | None = None, schema: str | None = None, *, ts: Column | None = None, **columns: Column) -> Stream:
+        """Pairs of equal keys in a common window. Keys: columns, or functions of a batch of rows. Result: ``columns`` over ``l.`` and ``r.``, or ``func`` of the left and right rows of a batch of pairs."""
         if spec.kind != "time":
             raise ValueError("a window join needs a time window")
-        build = lambda p, i: joins.window_join(i[0], i[1], left_key, right_key, spec, columns, ts, self._late() or other._late())
-        return self.builder._add("window_join", "WindowJoin", [self.id, other.id], build, spec=spec, columns=columns, keys=(left_key, right_key), ts=ts)
+        build = lambda a, b, lk, rk, made: joins.window_join(a, b, lk, rk, spec, made, ts, self._late() or other._late())
+        return self._joined(other, "WindowJoin", "window_join", build, (left_key, right_key), func, schema, columns, spec=spec, ts=ts)
 
-    def interval_join(self, other: Stream, left_key: Column, right_key: Column, lower: int, upper: int, *, ts: Column | None = None, **columns: Column) -> Stream:
+    def interval_join(self, other: Stream, left_key: joins.Key, right_key: joins.Key, lower: int, upper: int, func: Callable | None = None, schema: str | None = None, *, ts: Column | None = None, **columns: Column) -> Stream:
+        """Pairs of equal keys whose times differ by ``lower`` to ``upper``; keys and result as in ``window_join``."""
         if lower > upper:
             raise ValueError("lower must not exceed upper")
-        build = lambda p, i: joins.interval_join(i[0], i[1], left_key, right_key, lower, upper, columns, ts)
-        return self.builder._add("interval_join", "IntervalJoin", [self.id, other.id], build, bounds=(lower, upper), columns=columns, keys=(left_key, right_key), ts=ts)
+        build = lambda a, b, lk, rk, made: joins.interval_join(a, b, lk, rk, lower, upper, made, ts)
+        return self._joined(other, "IntervalJoin", "interval_join", build, (left_key, right_key), func, schema, columns, bounds=(lower, upper), ts=ts)
 
     def sink(self, func: Callable[[DataFrame], None] | None = None, name: str = "sink") -> Stream:
         """The end of a branch. ``func`` gets the whole result when the graph runs."""
+        if func is not None:
+            takes(func, 1, "a sink function", gives=False)
         return self._next(name, "Sink", lambda df: df, func=func)
 
     def _late(self) -> bool:
@@ -130,6 +162,7 @@ class WindowedStream:
         keys, late = list(s.keys), s._late()
         partition = "Keyed" if keys else "Forward"
         if func is not None:
+            takes(func, 1, "a window function", gives=True)
             return s._next("window", "Window", lambda df: windows.apply_function(df, spec, func, schema, keys, late), partition, spec=spec, func=func, schema=schema, keys=keys)
         if spec.kind == "time":
             return s._next("window", "Window", lambda df: windows.time_aggregate(df, spec, aggs, keys, late), partition, spec=spec, aggs=aggs, keys=keys)

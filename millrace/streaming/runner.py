@@ -20,7 +20,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from millrace.operators import basic
 from millrace.operators.aggregates import Agg, as_column
+from millrace.operators.joins import key_column, made_columns
 from millrace.operators.rows import SEQ, TS, WM
+from millrace.plans.batch import dealt
 from millrace.plans.graph import DataflowGraph, Node
 from millrace.plans.window_spec import WindowSpec
 
@@ -136,8 +138,9 @@ def _window_node(df: DataFrame, p: dict) -> DataFrame:
 
 
 def _pairs(left: DataFrame, right: DataFrame, node: Node) -> DataFrame:
-    a = left.withColumn("__key", node.params["keys"][0]).withColumnRenamed(EVENT_TIME, "__lt")
-    b = right.withColumn("__key", node.params["keys"][1]).withColumnRenamed(EVENT_TIME, "__rt")
+    names = [[c for c in df.columns if c != EVENT_TIME] for df in (left, right)]
+    a, b = (df.withColumn("__key", key_column(k, n)) for df, k, n in zip((left, right), node.params["keys"], names, strict=True))
+    a, b = a.withColumnRenamed(EVENT_TIME, "__lt"), b.withColumnRenamed(EVENT_TIME, "__rt")
     if node.kind == "IntervalJoin":
         lower, upper = node.params["bounds"]
         low, high = (F.col("l.__lt") + F.expr(f"make_dt_interval(0, 0, 0, {x / 1e6:.6f})") for x in (lower, upper))
@@ -151,7 +154,8 @@ def _pairs(left: DataFrame, right: DataFrame, node: Node) -> DataFrame:
     ts = node.params["ts"]
     ts = ts.cast("long") if ts is not None else F.greatest(F.col(f"l.{TS}"), F.col(f"r.{TS}"))
     seq = F.greatest(F.col(f"l.{SEQ}"), F.col(f"r.{SEQ}"))
-    return pairs.select(*[c.alias(n) for n, c in node.params["columns"].items()], ts.alias(TS), seq.alias(SEQ), F.lit(None).cast("long").alias(WM))
+    pairs, columns = made_columns(pairs, node.params["made"], *names)
+    return pairs.select(*[c.alias(n) for n, c in columns.items()], ts.alias(TS), seq.alias(SEQ), F.lit(None).cast("long").alias(WM))
 
 
 def compile_stream(graph: DataflowGraph, sources: dict[str, DataFrame]) -> dict[int, DataFrame]:
@@ -170,6 +174,7 @@ def compile_stream(graph: DataflowGraph, sources: dict[str, DataFrame]) -> dict[
             if EVENT_TIME not in out.columns and EVENT_TIME in inputs[0].columns:
                 out = out.withColumn(EVENT_TIME, F.timestamp_micros(TS))
             made[i] = out
+        made[i] = dealt(made[i], node)
     return made
 
 

@@ -54,6 +54,20 @@ def test_numbers(spark, column, expected):
     assert value(spark, column) == expected
 
 
+@pytest.mark.parametrize(
+    ("number", "kind", "expected"),
+    [
+        (1.0, "f64", "1"), (-0.0, "f64", "-0"), (0.1, "f64", "0.1"), (0.1, "f32", "0.1"), (12345.678, "f64", "12345.678"), (10000.0, "f64", "10000"), (100000.0, "f64", "1e+05"),
+        (123456.0, "f64", "123456"), (0.0001, "f64", "1e-04"), (0.001, "f64", "0.001"), (0.00123, "f64", "0.00123"), (1e300, "f64", "1e+300"), (5e-324, "f64", "5e-324"), (2.0**70, "f64", "1180591620717411303424"),
+        (16777216.0, "f32", "16777216"), (math.inf, "f64", "inf"), (-math.inf, "f32", "-inf"), (math.nan, "f64", "nan"), (7, "i8", "7"), (-5, "i64", "-5"), (2**64 - 1, "u64", "18446744073709551615"),
+    ],
+)
+def test_text(spark, number, kind, expected):
+    column = L(str(number)).cast(strict.spark_type(kind))
+    assert value(spark, strict.text(column, kind)) == expected
+    assert value(spark, strict.text(L(None), kind)) is None
+
+
 def test_zero_by_zero(spark):
     assert math.isnan(value(spark, strict.divide_float(L(0.0), L(0.0))))
 
