@@ -223,6 +223,17 @@ def q_emit_on_update(spark, sf_dir):
     return _rows(_events(spark, sf_dir).window(time_tumbling_window(DAY)).updates(retract=True, n=count_of(), total=sum_of("cents"), most=max_of("cents")).sink())
 
 
+@query(f"""{_WM}, w AS (SELECT i, cents, tick // {6 * HOUR} * {6 * HOUR} + {6 * HOUR} AS e, wm FROM s JOIN k ON s.i // 100 = k.b),
+    v AS (SELECT *, coalesce(e <= wm, false) AS late FROM w WHERE wm IS NULL OR e + {DAY} > wm),
+    f AS (SELECT *, CASE WHEN late THEN (row_number() OVER (PARTITION BY e, late ORDER BY i) - 1) // 3 + 1 ELSE 0 END AS firing FROM v),
+    g AS (SELECT e, firing, count(*) AS n, sum(cents) AS total FROM f GROUP BY e, firing)
+    SELECT greatest(e - {6 * HOUR}, 0)::BIGINT AS window_start, e::BIGINT AS window_end, firing::BIGINT AS firing, (sum(n) OVER o)::BIGINT AS n, (sum(total) OVER o)::BIGINT AS total FROM g WINDOW o AS (PARTITION BY e ORDER BY firing)""")
+def q_late_updates(spark, sf_dir):
+    """A window's result at its end, and again after every third row that comes up to a day late."""
+    s = GraphBuilder().source(lambda: _disordered(spark, sf_dir), "tick", "arrival").with_watermark(HOUR)
+    return _rows(s.window(time_tumbling_window(6 * HOUR)).updates(3, allowed=DAY, n=count_of(), total=sum_of("cents")).sink())
+
+
 @query(f"""WITH {EV}, l AS (SELECT *, tick // {DAY} AS d FROM ev WHERE event_type = 'click'), r AS (SELECT *, tick // {DAY} AS d FROM ev WHERE event_type = 'purchase')
     SELECT l.user_id, l.event_id AS click_id, r.event_id AS purchase_id, ((l.d + 1) * {DAY})::BIGINT AS window_end FROM l JOIN r ON l.user_id = r.user_id AND l.d = r.d""")
 def q_window_join(spark, sf_dir):

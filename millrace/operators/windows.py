@@ -224,14 +224,21 @@ def rolling(df: DataFrame, aggs: dict[str, Agg | Column], keys: list[str]) -> Da
     return df.withColumns({n: as_column(a).over(place) for n, a in aggs.items()})
 
 
-def triggered(df: DataFrame, spec: WindowSpec, aggs: dict[str, Agg], keys: list[str], every: int, purge: bool, retract: bool, late: bool = False) -> DataFrame:
+def triggered(df: DataFrame, spec: WindowSpec, aggs: dict[str, Agg], keys: list[str], every: int, purge: bool, retract: bool, late: bool = False, allowed: int | None = None) -> DataFrame:
     """A time window's results as they are updated: after every ``every`` of its rows in arrival order, and at its end for the rest.
 
     A firing keeps the window's state (each result covers all rows so far) or, with ``purge``, clears it (each covers the rows
     since the last). ``firing`` counts from 0; ``every=1`` emits on each update. With ``retract`` each result that replaces
-    another comes with that one again, ``change`` -1 instead of 1. Rows are numbered and firings run through in blocks, so a large window is split.
+    another comes with that one again, ``change`` -1 instead of 1. With ``allowed`` a window fires at its end (``firing`` 0) and
+    then after every ``every`` rows that come late, up to ``allowed`` ticks behind the watermark, and for the rest of them. Rows are numbered and firings run through in blocks, so a large window is split.
     """
-    rows = _numbered(assign_time(df, spec, late), [*keys, END]).withColumn("firing", F.floor((F.col("__rn") - 1) / every).cast("long"))
+    nth = F.floor((F.col("__rn") - 1) / every).cast("long")
+    if allowed is None:
+        rows = _numbered(assign_time(df, spec, late), [*keys, END]).withColumn("firing", nth)
+    else:
+        rows = assign_time(df.withColumn("__met", in_force(df)), spec, False).filter(F.col("__met").isNull() | (F.col(END) + allowed > F.col("__met")))
+        rows = _numbered(rows.withColumn("__late", F.coalesce(F.col(END) <= F.col("__met"), F.lit(False))), [*keys, END, "__late"])
+        rows = rows.withColumn("firing", F.when(F.col("__late"), nth + 1).otherwise(0))
     parts = partial(rows.groupBy(*keys, END, "firing"), aggs, F.max(SEQ).alias(SEQ))
     if not purge:
         parts = _so_far(parts, {p: step for n, a in aggs.items() for p, step in a.again(a.names(n)).items()}, [*keys, END], "firing")

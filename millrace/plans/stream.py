@@ -170,10 +170,10 @@ class WindowedStream:
 
     aggregate = reduce
 
-    def updates(self, every: int = 1, purge: bool = False, retract: bool = False, **aggs: Agg) -> Stream:
-        """A time window's results after every ``every`` rows and at its end (a count trigger): FIRE, or FIRE_AND_PURGE with ``purge``; ``every=1`` emits on update."""
+    def updates(self, every: int = 1, purge: bool = False, retract: bool = False, allowed: int | None = None, **aggs: Agg) -> Stream:
+        """A time window's results after every ``every`` rows and at its end (a count trigger): FIRE, or FIRE_AND_PURGE with ``purge``; ``every=1`` emits on update. With ``allowed``: at its end, and after every ``every`` rows that are late by no more."""
         s, spec = self.stream, self.spec
-        if spec.kind != "time" or every < 1 or purge and retract or not all(isinstance(a, Agg) for a in aggs.values()):
-            raise ValueError("updates take a time window, every >= 1, mergeable aggregates and not both purge and retract")
+        if spec.kind != "time" or every < 1 or (allowed or 0) < 0 or purge and retract or not all(isinstance(a, Agg) for a in aggs.values()):
+            raise ValueError("updates take a time window, every >= 1, allowed >= 0, mergeable aggregates and not both purge and retract")
         keys, late = list(s.keys), s._late()
-        return s._next("updates", "Window", lambda df: windows.triggered(df, spec, aggs, keys, every, purge, retract, late), "Keyed" if keys else "Forward", updates=every)
+        return s._next("updates", "Window", lambda df: windows.triggered(df, spec, aggs, keys, every, purge, retract, late, allowed), "Keyed" if keys else "Forward", updates=every)

@@ -215,3 +215,30 @@ def test_updates_leave_late_rows_out(spark, monkeypatch):
     out = result(s.updates(retract=True, total=sum_of("value")).build())
     got = sorted((r.window_end, r.firing, r.change, r.total) for r in out.collect())
     assert got == [(10, 0, 1, 1), (10, 1, -1, 1), (10, 1, 1, 3), (20, 0, 1, 4), (20, 1, -1, 4), (20, 1, 1, 20), (20, 2, -1, 20), (20, 2, 1, 52)]
+
+
+@pytest.mark.parametrize(("allowed", "every", "purge"), [(0, 1, False), (6, 1, False), (6, 2, False), (25, 2, True), (100, 1, True)])
+def test_late_updates(spark, monkeypatch, allowed, every, purge):
+    monkeypatch.setattr(ordering, "BLOCK", 5)
+    rng = random.Random(allowed + every)
+    rows = [(i, max(0, i // 2 - rng.choice([0, 0, 1, 5, 12, 20]))) for i in range(120)]
+    s = stream(spark, rows).with_watermark(1, 3).window(time_window(10, 5))
+    out = result(s.updates(every, purge=purge, allowed=allowed, total=sum_of("value"), n=count_of()).build()).collect()
+    parts, top, wm = {}, None, None
+    for i, (value, t) in enumerate(rows):
+        if i and i % 3 == 0 and top >= 1:
+            wm = top - 1
+        for e in range(5, 200, 5):
+            if max(0, e - 10) <= t < e and (wm is None or e + allowed > wm):
+                parts.setdefault(e, ([], []))[wm is not None and e <= wm].append(value)
+        top = t if top is None else max(top, t)
+    expected = []
+    for e, (timely, late) in parts.items():
+        held = list(timely)
+        if timely:
+            expected.append((e, 0, sum(held), len(held)))
+        for k in range(0, len(late), every):
+            held = late[k : k + every] if purge else held + late[k : k + every]
+            expected.append((e, k // every + 1, sum(held), len(held)))
+    assert sorted((r.window_end, r.firing, r.total, r.n) for r in out) == sorted(expected)
+    assert any(f for _, f, _, _ in expected) == (allowed > 0)
