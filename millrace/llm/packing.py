@@ -102,9 +102,9 @@ def place(cut: DataFrame, most: int = CONTEXT) -> DataFrame:
     return ranked.mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, most: int = CONTEXT, path: str | None = None, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, most: int = CONTEXT, path: str | None = None, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text", special_as_text: bool = True) -> DataFrame:
     """Pieces of every document with their ``sequence_id`` and ``offset``; with ``with_ids`` also the ids themselves."""
-    return place(pieces(docs, doc_id, text, most, path, with_ids), most)
+    return place(pieces(docs, doc_id, text, most, path, with_ids, special_as_text), most)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

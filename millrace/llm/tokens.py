@@ -3,7 +3,8 @@
 The vocabulary file is a parameter (a ``tokenizers`` JSON file, by default the public 50k
 byte-level BPE). Its vocabulary is read from that file and run by a faster engine that gives
 the same ids; a text which that engine refuses (its pattern matcher has a stack limit) is
-encoded by ``tokenizers`` itself. Special tokens' strings in a text are ordinary text.
+encoded by ``tokenizers`` itself. Special tokens' strings in a text are ordinary text, as in the notes of the
+vocabulary files, unless ``special_as_text`` is set to False: then each is its one id, as ``tokenizers`` does by default.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def _byte_of_char() -> dict[str, int]:
 
 
 @functools.cache
-def encoder(path: str | None = None):
+def encoder(path: str | None = None, special_as_text: bool = True):
     """``encode(text) -> uint32 array`` for the vocabulary file; one per Python worker."""
     import tiktoken
     from tokenizers import Tokenizer
@@ -53,9 +54,11 @@ def encoder(path: str | None = None):
     ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    slow.encode_special_tokens = special_as_text
 
     def encode(text: str) -> np.ndarray:
+        if not special_as_text and any(s in text for s in special):
+            return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         try:
             return np.array(fast.encode_ordinary(text), dtype=np.uint32)
         except BaseException as e:  # the engine's own panics aren't Exceptions
@@ -72,18 +75,18 @@ def _texts(column: pa.Array) -> Iterator[str]:
         yield x.as_py() or ""
 
 
-def encoded_lengths(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
+def encoded_lengths(docs: DataFrame, text: str = "text", path: str | None = None, special_as_text: bool = True) -> DataFrame:
     """One row ``n_tokens`` (int, with the closing id) per document."""
 
     def run(batches):
-        encode = encoder(path)
+        encode = encoder(path, special_as_text)
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([len(encode(t)) + 1 for t in _texts(b.column(0))], pa.int32())], ["n_tokens"])
 
     return docs.select(text).mapInArrow(run, "n_tokens int")
 
 
-def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 2048, path: str | None = None, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 2048, path: str | None = None, with_ids: bool = False, special_as_text: bool = True) -> DataFrame:
     """Each document's ids and the closing id, cut into pieces of at most ``most``.
 
     Rows: doc_id, start, length, ids_crc32, doc_tokens, and ``ids`` if asked for.
@@ -92,7 +95,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: in
     ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
 
     def run(batches):
-        encode = encoder(path)
+        encode = encoder(path, special_as_text)
         for b in batches:
             rows: list[list] = [[] for _ in fields]
             for key, t in zip(b.column(0).to_pylist(), _texts(b.column(1)), strict=True):

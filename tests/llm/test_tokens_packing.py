@@ -90,3 +90,19 @@ def test_length_table(spark, odd, empty, corpus, corpus_df, reference_ids):
         assert tokens.quantile(h, 0.5) == sorted(n)[(len(n) + 1) // 2 - 1]
     assert tokens.length_table(tokens.encoded_lengths(empty)).count() == 0
     assert tokens.encoded_lengths(odd).agg(F.min("n_tokens")).first()[0] == 1
+
+
+def test_special_tokens_either_way(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|> x<|endoftext|><|endoftext|>", "x <|endoftext|>", "<|endoftext", "plain", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for as_text in (True, False):
+        library = Tokenizer.from_file(tokens.default_path())
+        if as_text:
+            library.encode_special_tokens = True
+        expected = {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+        assert {r.doc_id: r.ids for r in tokens.pieces(df, with_ids=True, special_as_text=as_text).collect()} == expected
+        lengths = tokens.encoded_lengths(df, special_as_text=as_text)
+        assert sorted(r.n_tokens for r in lengths.collect()) == sorted(map(len, expected.values()))
+        assert {r.doc_id: r.doc_tokens for r in packing.pack(df, special_as_text=as_text).collect()} == {i: len(x) for i, x in expected.items()}
