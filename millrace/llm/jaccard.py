@@ -5,7 +5,9 @@ joined as one set under a key of its own; ids only name the classes. Over the di
 
 1. Tree. In each of ``RUNS`` runs a set x enters one bucket per token that it samples: those whose
    hash lies below SPREAD / (LEAST |x|). Two sets that sample the same shared token meet. A bucket of
-   more than ``SMALL`` sets is split again on sampled tokens of its members, down to three levels.
+   more than ``SMALL`` sets is split again on sampled tokens of its members, down to three levels, unless
+   that would spare no work: near copies sample the same tokens and meet in most children again. A bucket
+   in which two of ``PROBES`` members share ``FUTILE`` children or more on average is compared whole.
    Each document finds its own buckets from its tokens alone; Spark counts them level by level, only
    buckets with two sets or more go on, and only members of a split bucket are dealt to its children.
 2. Candidates. In each leaf bucket, minwise sketches (``BINS`` bins of a byte) rule out pairs far below
@@ -42,6 +44,7 @@ from millrace.llm.common import settled, table
 
 WIDTH, LEAST = 5, 0.8
 SPREAD, SMALL, BLOCK, BINS, SLACK = 1.5, 256, 4096, 128, 0.16
+PROBES, FUTILE, MOST_PROBES = 32, 0.75, 500_000
 RECALL = 0.9995
 
 
@@ -113,23 +116,45 @@ def _trees(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, s1 long, s2 long, n int, sketch binary, l1 array<long>, l2 array<array<long>>, l3 array<array<long>>")
 
 
+def _below(members: DataFrame, trees: DataFrame, level: int, at: str, chosen: str) -> DataFrame:
+    """``members`` with ``at``: one row per child of those buckets of the level for which ``chosen`` holds, given the bucket as ``p``."""
+    above, children = ("l1", "l2") if level == 1 else ("flatten(l2)", "l3")
+    own = trees.select("id", F.expr(above).alias("above"), F.col(children).alias("children")).join(members, "id")
+    return own.withColumn(at, F.explode(F.expr(f"flatten(filter(children, (x, i) -> exists(array(above[i]), p -> {chosen})))"))).drop("above", "children")
+
+
+def _futile(large: DataFrame, trees: DataFrame, level: int) -> DataFrame:
+    """The nodes of (id, node, c) whose split would spare few comparisons, judged by about ``PROBES`` members of each.
+
+    Splitting compares a pair once per child that it shares. This only chooses where pairs are compared; no pair is lost.
+    """
+    probes = settled(large.filter(F.pmod(F.xxhash64("id", "node"), "c") < PROBES).select("id", "node"))
+    sent = F.broadcast(probes) if probes.count() <= MOST_PROBES else probes.hint("merge")
+    shared = _below(sent, trees, level, "child", "p = node").groupBy("node", "child").agg(F.count("*").alias("k"))
+    shared = shared.groupBy("node").agg(F.sum(F.expr("k * (k - 1)")).alias("shared"))
+    pairs = probes.groupBy("node").agg(F.count("*").alias("k")).select("node", F.expr("k * (k - 1)").alias("pairs"))
+    return settled(shared.join(pairs, "node").filter(F.col("shared") >= FUTILE * F.col("pairs")).filter("pairs > 0").select("node"))
+
+
 def _leaves(sets: DataFrame, trees: DataFrame) -> DataFrame:
     """(id, node, c): the buckets with at least two sets where brute force takes over, and their sizes.
 
-    Only members of a bucket of more than ``SMALL`` sets go down a level, and only into that bucket's children.
+    Only members of a bucket of more than ``SMALL`` sets that is worth a split go down a level, and only into that bucket's children.
     """
     out, rows = [], sets.select("id", F.explode("l1").alias("node"))
     for level in (1, 2, 3):
         rows = rows.distinct()
         sizes = rows.groupBy("node").agg(F.count("*").alias("c")).filter("c > 1")
         here = settled(rows.join(sizes, "node").select("id", "node", "c"))
+        large = here.filter(F.col("c") > SMALL)
         out.append(here if level == 3 else here.filter(F.col("c") <= SMALL))
-        if level == 3 or here.filter(F.col("c") > SMALL).isEmpty():
+        if level == 3 or large.isEmpty():
             return reduce(DataFrame.union, out)
-        split = here.filter(F.col("c") > SMALL).groupBy("id").agg(F.collect_set("node").alias("split"))  # a set's own samples only
-        above, children = ("l1", "l2") if level == 1 else ("flatten(l2)", "l3")
-        own = trees.select("id", F.expr(above).alias("above"), F.col(children).alias("children")).join(split, "id")
-        rows = own.select("id", F.explode(F.expr("flatten(filter(children, (x, i) -> array_contains(split, above[i])))")).alias("node"))
+        futile = _futile(large, trees, level)
+        out.append(large.join(futile, "node", "left_semi").select("id", "node", "c"))
+        large = large.join(futile, "node", "left_anti")
+        split = settled(large.groupBy("id").agg(F.collect_set("node").alias("split")))  # a set's own samples only
+        rows = _below(split.hint("merge"), trees, level, "node", "array_contains(split, p)").select("id", "node")
 
 
 def _blocked(rows: DataFrame) -> DataFrame:

@@ -108,6 +108,23 @@ def test_measured_recall(spark):
     assert found >= 40_000 * jaccard.RECALL
 
 
+def test_near_copies_are_not_dealt_out_again(spark, words):
+    """A large group of near copies stays in its buckets, whose splits would spare nothing; unrelated texts that share a line are split."""
+    rng = random.Random(21)
+    base, line = [rng.choice(words) + str(k) for k in range(300)], [rng.choice(words) for _ in range(12)]
+    rows = [(i, " ".join([*base[: i % 300], f"w{i}", *base[i % 300 + 1 :]])) for i in range(300)]
+    rows += [(1000 + i, " ".join([*line, *(f"{rng.choice(words)}{rng.randrange(10**6)}" for _ in range(20 + i % 90))])) for i in range(800)]
+    trees = jaccard._trees(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "xxhash64(text) AS h", "text"), jaccard.WIDTH).withColumn("id", F.col("doc_id")).persist()
+    first = {(r.id, n) for r in trees.select("id", "l1").collect() for n in r.l1}
+    leaves = [(r.id, r.node) for r in jaccard._leaves(trees, trees).collect()]
+    assert len(leaves) == len(set(leaves))
+    near, other = ([x for x in leaves if (x[0] < 1000) == k] for k in (True, False))
+    assert set(near) <= first and len(near) > 300 * 3
+    assert not set(other) <= first
+    trees.unpersist()
+    assert found_classes(spark.createDataFrame(rows[:300], "doc_id long, text string")) == Counter((i, 0, 299, 1) for i in range(300))
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 300)] + [(rng.randrange(400, 600), rng.randrange(400, 600)) for _ in range(150)] + [(1000, k) for k in range(1001, 1100)]
